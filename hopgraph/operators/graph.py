@@ -34,6 +34,7 @@ class Graph:
         self.n = n
         self.symmetric = symmetric
         self.hub_block = hub_block
+        self.comp: DataFrame | None = None  # component labels once computed
 
     @classmethod
     def build(

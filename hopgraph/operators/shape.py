@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hopgraph.functions.hashing import h
 from hopgraph.plans.numbering import number_rows
+from hopgraph.plans.scratch import Scratch
 
 
 def symmetrise(arcs: DataFrame) -> DataFrame:
@@ -186,19 +187,20 @@ def connect_components(edges: DataFrame, comp: DataFrame, seed: int = 0) -> Data
     hash; every component picks its own target inside the largest one by a
     dense number, so no component's members are gathered.
     """
-    sizes = comp.groupBy("comp").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.min_by("id", F.struct(h("id", seed), F.col("id"))).alias("pick"),
-    )
-    big = sizes.orderBy(F.desc("size"), "comp").limit(1).select(
-        F.col("comp").alias("big"), F.col("size").alias("big_size")
+    spark = comp.sparkSession
+    sizes = Scratch(spark, "connect").cut(
+        comp.groupBy("comp").agg(
+            F.count(F.lit(1)).alias("size"),
+            F.min_by("id", F.struct(h("id", seed), F.col("id"))).alias("pick"),
+        )
     )
-    tagged = sizes.crossJoin(F.broadcast(big))  # one row on the right
-    small = tagged.filter("comp <> big").select(
-        F.col("pick").alias("src"), (h("comp", seed + 1) % F.col("big_size")).alias("slot")
+    big = sizes.orderBy(F.desc("size"), "comp").limit(1)
+    big_id = big.select("comp").scalar()
+    small = sizes.filter(F.col("comp") != big_id).select(
+        F.col("pick").alias("src"), (h("comp", seed + 1) % big.select("size").scalar()).alias("slot")
     )
-    members = comp.join(F.broadcast(big.select(F.col("big").alias("comp"))), "comp", "left_semi")
-    slots = number_rows(members.select("id"), h("id", seed + 2), "id", name="slot")
+    members = comp.filter(F.col("comp") == big_id).select("id")
+    slots = number_rows(members, h("id", seed + 2), "id", name="slot")
     links = small.join(slots, "slot").select("src", F.col("id").alias("dst"))
     return edges.select("src", "dst").union(links)
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from hopgraph.functions.hashing import h
 from hopgraph.operators.graph import Graph
+from hopgraph.plans.numbering import number_rows
 from hopgraph.plans.scratch import Scratch
 
 Hook = Callable[[DataFrame, int], DataFrame]
@@ -58,6 +59,7 @@ class Sweep:
         self.schema = first.schema
         self.depth = 0
         self.sizes = [self.scratch.write(first, "d=0")]
+        self.full: int | None = None  # total rows after which nothing new can appear
 
     def level(self, k: int) -> DataFrame:
         return self.scratch.read(f"d={k}", self.schema)
@@ -123,6 +125,8 @@ class Sweep:
 
     def run(self, max_hops: int | None = None, active: Hook | None = None, refine: Hook | None = None) -> "Sweep":
         while self.sizes[-1] and (max_hops is None or self.depth < max_hops):
+            if self.full is not None and sum(self.sizes) >= self.full:
+                break
             self.advance(active, refine)
         return self
 
@@ -136,32 +140,58 @@ def distances(
     graph: Graph, sources: DataFrame, max_hops: int | None = None, carry: tuple[str, ...] = (), key: str = "src"
 ) -> DataFrame:
     """Hop distance from every node of ``sources(id)`` to all it reaches."""
-    return Sweep(graph, seeds_of(sources, key), (key,), carry).run(max_hops).table()
+    return sweep_from(graph, sources, carry, key).run(max_hops).table()
+
+
+def sweep_from(graph: Graph, sources: DataFrame, carry: tuple[str, ...] = (), key: str = "src") -> Sweep:
+    """One search per node of ``sources(id)``; done at the latest when all reached all nodes."""
+    sweep = Sweep(graph, seeds_of(sources, key), (key,), carry)
+    sweep.full = sweep.sizes[0] * graph.n
+    return sweep
 
 
 def with_unreachable(dist: DataFrame, sources: DataFrame, nodes: DataFrame, key: str = "src") -> DataFrame:
     """Dense view of one search: -1 for nodes out of reach.
 
-    ``sources`` must be one row (the reference vector of one source); for
+    ``sources`` must be one row (the distance vector of one source); for
     batches join the wanted pairs instead.
     """
-    one = sources.select(F.col("id").alias(key)).limit(1)
-    full = nodes.select("id").crossJoin(F.broadcast(one))  # one row on the right
-    return full.join(dist, [key, "id"], "left").withColumn("d", F.coalesce("d", F.lit(-1)))
+    one = sources.select("id").limit(1).scalar()
+    return nodes.select(one.alias(key), "id").join(dist, [key, "id"], "left").withColumn(
+        "d", F.coalesce("d", F.lit(-1))
+    )
 
 
-def pair_distances(graph: Graph, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
+def pair_distances(graph: Graph, pairs: DataFrame, max_hops: int | None = None, screen: bool = True) -> DataFrame:
     """Exact distance of every distinct ``(src, dst)``, -1 if unreachable.
 
     All end points search at the same time and a pair is settled when its two
     balls touch, so a search never goes deeper than half the distance.  After
-    round k the meeting level gives 2k-1 or 2k.  Searches without open pairs stop.
+    round k the meeting level gives 2k-1 or 2k.  Searches without open pairs
+    stop.  ``screen`` compares component labels first, which saves the
+    exhaustive search of pairs that cannot meet.
     """
     scratch = Scratch(graph.spark, "pairs")
     wanted = scratch.cut(pairs.select("src", "dst").distinct(), "wanted")
     if not graph.symmetric:
         return _one_sided(graph, wanted, scratch, max_hops)
-    ends = wanted.select(F.explode(F.array("src", "dst")).alias("id"))
+    same = wanted.filter("src = dst").join(
+        graph.nodes.select(F.col("id").alias("src")), "src", "left_semi"
+    ).select("src", "dst", F.lit(0).alias("d"))
+    schema = same.schema
+    scratch.write(same, "hit0")
+    hits = ["hit0"]
+    differ = wanted.filter("src <> dst")
+    if screen:
+        comp = cached_components(graph)
+        differ = (
+            differ.join(comp.select(F.col("id").alias("src"), F.col("comp").alias("_a")), "src")
+            .join(comp.select(F.col("id").alias("dst"), F.col("comp").alias("_b")), "dst")
+            .filter("_a = _b")
+            .select("src", "dst")
+        )
+    open_pairs, left = scratch.save(differ, "open0")
+    ends = open_pairs.select(F.explode(F.array("src", "dst")).alias("id"))
     sweep = Sweep(graph, seeds_of(ends, "root"), ("root",))
     same = wanted.filter("src = dst").join(
         graph.nodes.select(F.col("id").alias("src")), "src", "left_semi"
@@ -295,7 +325,9 @@ def layered_targets(
 def nearest_seed(graph: Graph, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``(id, seed, d)`` - nearest seed of every node, smallest seed on ties."""
     start = seeds.select("id").distinct().withColumn("g", F.lit(0))
-    return Sweep(graph, start, ("g",), ("seed",)).run(max_hops).table().select("id", "seed", "d")
+    sweep = Sweep(graph, start, ("g",), ("seed",))
+    sweep.full = graph.n
+    return sweep.run(max_hops).table().select("id", "seed", "d")
 
 
 def landmark_table(graph: Graph, landmarks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -353,19 +385,30 @@ def _step_back(graph: Graph, here: DataFrame) -> DataFrame:
 def connecting_subgraph(graph: Graph, chosen: DataFrame) -> DataFrame:
     """Union of shortest paths among ``chosen(id)``, as undirected edges.
 
-    Each chosen node searches until it met all the others it can reach; then
-    only the tree rows below a chosen node are kept, level by level.  The pair
-    list is the square of the chosen set, which the caller picks (100 nodes).
+    Each chosen node searches until it met all smaller chosen ones; then only
+    the tree rows on the way to a chosen node are kept, level by level.
     """
     chosen = chosen.select("id").distinct()
     scratch = Scratch(graph.spark, "connect")
-    sweep = Sweep(graph, seeds_of(chosen), ("src",), ("parent",)).run()
+    sweep = Sweep(graph, seeds_of(chosen), ("src",), ("parent",))
+    todo, left = scratch.save(
+        number_rows(chosen, "id", name="need").select(F.col("id").alias("src"), "need").filter("need > 0"), "todo0"
+    )
+    while left and sweep.sizes[-1]:
+        sweep.advance(active=lambda f, _: f.join(todo, "src", "left_semi"))
+        met = sweep.front.join(chosen, "id", "left_semi").filter("src > id").groupBy("src").count()
+        todo, left = scratch.save(
+            todo.join(met, "src", "left")
+            .select("src", (F.col("need") - F.coalesce("count", F.lit(0))).alias("need"))
+            .filter("need > 0"),
+            f"todo{sweep.depth}",
+        )
     names = []
     need = None
     for k in range(sweep.depth, 0, -1):
         if not sweep.sizes[k]:
             continue
-        ends = sweep.level(k).select("src", "id").join(chosen, "id", "left_semi").select("src", "id")
+        ends = sweep.level(k).select("src", "id").join(chosen, "id", "left_semi").filter("src > id").select("src", "id")
         need = ends if need is None else ends.union(need).distinct()
         used, _ = scratch.save(
             sweep.level(k).join(need, ["src", "id"], "left_semi").select("src", "id", "parent"), f"k{k}"
@@ -451,6 +494,13 @@ def components(graph: Graph, jumps: int = 2) -> DataFrame:
     )
 
 
+def cached_components(graph: Graph) -> DataFrame:
+    """Component labels, stored with the graph on first use."""
+    if graph.comp is None:
+        graph.comp = Scratch(graph.spark, "comp").cut(components(graph))
+    return graph.comp
+
+
 def component_sizes(comp: DataFrame) -> DataFrame:
     return comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,13 +42,18 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> int:
-        """Write one table and return its row count, in a single job."""
+    def write(self, df: DataFrame, name: str, **extra: Column) -> int | tuple[int, dict]:
+        """Write one table and return its row count, in a single job.
+
+        ``extra`` names further aggregates to take along; they come back as a dict.
+        """
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(
+        named = [v.alias(k) for k, v in extra.items()]
+        df.observe(seen, F.count(F.lit(1)).alias("n"), *named).write.mode("errorifexists").parquet(
             self.path(name)
         )
-        return int(seen.get["n"])
+        got = seen.get
+        return (int(got["n"]), got) if extra else int(got["n"])
 
     def read(self, name: str, schema: StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
