@@ -193,13 +193,6 @@ def pair_distances(graph: Graph, pairs: DataFrame, max_hops: int | None = None,
     open_pairs, left = scratch.save(differ, "open0")
     ends = open_pairs.select(F.explode(F.array("src", "dst")).alias("id"))
     sweep = Sweep(graph, seeds_of(ends, "root"), ("root",))
-    same = wanted.filter("src = dst").join(
-        graph.nodes.select(F.col("id").alias("src")), "src", "left_semi"
-    ).select("src", "dst", F.lit(0).alias("d"))
-    schema = same.schema
-    scratch.write(same, "hit0")
-    hits = ["hit0"]
-    open_pairs, left = scratch.save(wanted.filter("src <> dst"), "open0")
     while left and sweep.sizes[-1] and (max_hops is None or 2 * sweep.depth < max_hops):
         roots = open_pairs.select(F.explode(F.array("src", "dst")).alias("root")).distinct()
         sweep.advance(active=lambda f, k: f.join(roots, "root", "left_semi"))
