@@ -207,19 +207,19 @@ def pair_distances(graph: Graph, pairs: DataFrame, max_hops: int | None = None,
         met = (
             open_pairs.join(a, "src").join(near, ["dst", "id"]).groupBy("src", "dst").agg(F.min("d").alias("d"))
         )
-        hits.append(f"hit{k}")
-        scratch.write(met, f"hit{k}")
-        settled = scratch.read(f"hit{k}", schema).select("src", "dst")
         # a pair stays open only while both of its searches still grow
         alive = sweep.level(k).select("root").distinct()
-        open_pairs, left = scratch.save(
-            open_pairs.join(settled, ["src", "dst"], "left_anti")
-            .join(alive.withColumnRenamed("root", "src"), "src", "left_semi")
-            .join(alive.withColumnRenamed("root", "dst"), "dst", "left_semi")
-            .select("src", "dst"),
-            f"open{k}",
+        status = (
+            open_pairs.join(met, ["src", "dst"], "left")
+            .join(alive.select(F.col("root").alias("src"), F.lit(True).alias("s")), "src", "left")
+            .join(alive.select(F.col("root").alias("dst"), F.lit(True).alias("t")), "dst", "left")
+            .select("src", "dst", "d", (F.col("d").isNull() & F.col("s").isNotNull() & F.col("t").isNotNull()).alias("open"))
         )
-    found = scratch.read_many(hits, schema)
+        _, got = scratch.write(status, f"hit{k}", left=F.sum(F.col("open").cast("int")))
+        hits.append(f"hit{k}")
+        open_pairs = scratch.read(f"hit{k}", status.schema).filter("open").select("src", "dst")
+        left = got["left"] or 0
+    found = scratch.read_many(hits, schema).filter("d is not null")
     if max_hops is not None:
         found = found.filter(F.col("d") <= max_hops)
     return wanted.join(found, ["src", "dst"], "left").select(
@@ -432,7 +432,7 @@ def arc_kinds(graph: Graph, landmarks: DataFrame) -> DataFrame:
     )
 
 
-def components(graph: Graph, jumps: int = 2) -> DataFrame:
+def components(graph: Graph, jumps: int = 3) -> DataFrame:
     """``(id, comp)`` with the smallest node id of each component.
 
     Contraction rounds: every node points to the neighbour (or itself) with the
@@ -459,9 +459,11 @@ def components(graph: Graph, jumps: int = 2) -> DataFrame:
                 F.when(F.col("x") < F.xxhash64(salt, "src"), F.col("nbr")).otherwise(F.col("src")).alias("to"),
             )
         )
+        far = point
         for _ in range(jumps):
             nxt = point.select(F.col("id").alias("to"), F.col("to").alias("_far"))
-            point = scratch.cut(point.join(nxt, "to").select("id", F.col("_far").alias("to")))
+            far = far.join(nxt, "to").select("id", F.col("_far").alias("to"))
+        point = scratch.cut(far)
         maps.append(point)
         a = point.select(F.col("id").alias("src"), F.col("to").alias("_s"))
         b = point.select(F.col("id").alias("dst"), F.col("to").alias("_d"))
@@ -470,16 +472,15 @@ def components(graph: Graph, jumps: int = 2) -> DataFrame:
             .select(F.col("_s").alias("src"), F.col("_d").alias("dst")).distinct()
         )
     root = None
-    for point in reversed(maps):
+    for point in maps:
         if root is None:
             root = point.select("id", F.col("to").alias("root"))
         else:
-            up = root.select(F.col("id").alias("to"), F.col("root").alias("_r"))
-            root = scratch.cut(
-                point.join(up, "to", "left").select("id", F.coalesce("_r", "to").alias("root"))
-            )
+            up = point.select(F.col("id").alias("root"), F.col("to").alias("_r"))
+            root = root.join(up, "root", "left").select("id", F.coalesce("_r", "root").alias("root"))
     if root is None:
         return graph.nodes.select("id", F.col("id").alias("comp"))
+    root = scratch.cut(root)
     names = root.groupBy("root").agg(F.min("id").alias("comp"))
     labelled = root.join(names, "root").select("id", "comp")
     return graph.nodes.select("id").join(labelled, "id", "left").select(

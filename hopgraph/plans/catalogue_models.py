@@ -111,11 +111,11 @@ def _emb(spark, sf):
     )
 
 
-_VEC = "emb as (select vec_id as id, list_transform(embedding, x -> x::double) as v from embeddings)"
+_VEC = "emb as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings)"
 
 
 def _sum_by(expr: str) -> str:
-    return f"list_sum(list_transform(range(1, 65), i -> {expr}))"
+    return f"list_sum(list_transform(range(1, 65), lambda i: {expr}))"
 
 
 @register("emb_concat", S.query([_VEC], f"select id, len(v) * 2 as width, round({_sum_by('v[i] * i')} + {_sum_by('v[i] * (i + 64)')}, 6) as mark from emb"))
@@ -145,7 +145,7 @@ def emb_size_check(spark, sf):
 
 
 _SCORED = """scored as (select a.src, a.dst, list_dot_product(x.v, y.v) as dot,
-  list_sum(list_transform(range(1, 65), i -> (x.v[i] - y.v[i]) * (x.v[i] - y.v[i]))) as sq_l2,
+  list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i]))) as sq_l2,
   list_cosine_similarity(x.v, y.v) as cosine from arcs a join emb x on x.id = a.src join emb y on y.id = a.dst)"""
 
 
@@ -212,7 +212,7 @@ def landmark_vectors(spark, sf):
 
 @register(
     "nan_cleaned",
-    S.query([], "select vec_id as id, 64::bigint as width, round(list_sum(list_transform(embedding, x -> case when x > 0.2 then 0 else x::double end)), 6) as total from embeddings").replace("with recursive \n", ""),
+    S.query([], "select vec_id as id, 64::bigint as width, round(list_sum(list_transform(embedding, lambda x: case when x > 0.2 then 0 else x::double end)), 6) as total from embeddings").replace("with recursive \n", ""),
 )
 def nan_cleaned(spark, sf):
     holed = _emb(spark, sf).select("id", F.transform("v", lambda x: F.when(x > 0.2, F.lit(float("nan"))).otherwise(x)).alias("v"))
@@ -318,7 +318,7 @@ def adjacency_override(spark, sf):
     return D.adjacency_override(LandmarkOracle.build(g, 16).query(pairs), g.arcs, "est")
 
 
-_LOG = """log as (select event_type as run, (epoch(ts)::bigint // 3600 % 24)::int as epoch, round(avg(value), 4) as train, round(avg(value), 4) as val
+_LOG = """log as (select event_type as run, hour(ts)::int as epoch, round(avg(value), 4) as train, round(avg(value), 4) as val
   from events group by all)"""
 
 
@@ -331,7 +331,7 @@ else round_even(epoch / 10, 0) * 10 end)::int as checkpoint from b""",
     ),
 )
 def best_epoch(spark, sf):
-    hour = (F.floor(F.unix_seconds("ts") / 3600) % 24).cast("int")
+    hour = F.hour("ts")
     log = graphs.table(spark, sf, "events").groupBy(F.col("event_type").alias("run"), hour.alias("epoch")).agg(
         F.round(F.avg("value"), 4).alias("train"), F.round(F.avg("value"), 4).alias("val")
     )
