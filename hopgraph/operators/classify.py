@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hopgraph.functions.hashing import h
+from hopgraph.functions.vectors import dot
 from hopgraph.plans.numbering import number_rows
 from hopgraph.plans.scratch import Scratch
 
@@ -27,18 +28,26 @@ def rank_labels(emb: DataFrame, labels: DataFrame, train: DataFrame, reg: float
     ``labels(id, label)`` long form, ``train(id, train)`` marks the training nodes.
     """
     scratch = Scratch(emb.sparkSession, "rank")
-    rows = emb.join(train, "id").select("id", "train", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("x"))
-    rows = scratch.cut(rows)
-    known = [r.label for r in labels.join(rows.filter("train").select("id"), "id", "left_semi").select("label").distinct().orderBy("label").collect()]
-    parts = None
+    rows = scratch.cut(
+        emb.join(train, "id").select("id", "train", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    )
+    fit_rows = scratch.cut(rows.filter("train").select("id", "v"))
+    known = [
+        r.label
+        for r in labels.join(fit_rows, "id", "left_semi").select("label").distinct().orderBy("label").collect()
+    ]
+    scores = []
     for label in known:  # one model per class; the number of classes is small and fixed
         mine = labels.filter(F.col("label") == label).select("id", F.lit(1.0).alias("_y"))
-        data = rows.join(mine, "id", "left").withColumn("y", F.coalesce("_y", F.lit(0.0))).drop("_y")
-        model = LogisticRegression(featuresCol="x", labelCol="y", regParam=reg, maxIter=max_iter).fit(data.filter("train"))
-        p = model.transform(data.filter("not train")).select(
-            "id", F.lit(label).alias("label"), F.get(vector_to_array("probability"), F.lit(1)).alias("p")
+        data = fit_rows.join(mine, "id", "left").select(
+            array_to_vector("v").alias("x"), F.coalesce("_y", F.lit(0.0)).alias("y")
         )
-        parts = p if parts is None else parts.union(p)
+        model = LogisticRegression(featuresCol="x", labelCol="y", regParam=reg, maxIter=max_iter).fit(data)
+        # the fitted weights become a plain expression, so all classes score in one pass
+        weights = F.array(*[F.lit(float(c)) for c in model.coefficients])
+        logit = dot(F.col("v"), weights) + F.lit(float(model.intercept))
+        scores.append(F.struct(F.lit(label).alias("label"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).alias("p")))
+    parts = rows.filter("not train").select("id", F.explode(F.array(*scores)).alias("s")).select("id", "s.label", "s.p")
     wanted = labels.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     w = W.partitionBy("id").orderBy(F.desc("p"), "label")
     return parts.withColumn("rn", F.row_number().over(w)).join(wanted, "id").filter("rn <= k").select("id", "label")

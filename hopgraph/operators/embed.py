@@ -152,10 +152,16 @@ def random_vectors(
 
 
 # --------------------------------------------------- E3, E4 spectral embeddings
-def _iterate(graph: Graph, dim: int, iters: int, seed: int, apply: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, np.ndarray]:
+GUARD = 6  # extra columns that speed up the convergence of the wanted ones
+
+
+def _width(graph: Graph, dim: int) -> int:
+    return min(dim + 1 + GUARD, graph.n)
+
+
+def _iterate(graph: Graph, k: int, iters: int, seed: int, apply: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, np.ndarray]:
     """Orthogonal iteration: columns of an n x k table, k x k algebra on the driver."""
     scratch = Scratch(graph.spark, "spectral")
-    k = dim + 1
     x = scratch.cut(random_vectors(graph.nodes, k, seed))
     x = _orthonormal(x, k, scratch)
     for _ in range(iters):
@@ -192,7 +198,7 @@ def _spread(graph: Graph, x: DataFrame, k: int) -> DataFrame:
 
 def laplacian_eigenmaps(graph: Graph, dim: int, iters: int = 60, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     """Eigenvectors of the smallest eigenvalues of the normalised Laplacian, first one dropped."""
-    k = dim + 1
+    k = _width(graph, dim)
     deg = graph.nodes.select("id", F.greatest("deg", F.lit(1)).cast("double").alias("deg"))
 
     def apply(x: DataFrame) -> DataFrame:  # (2I - L) x = x + D^-1/2 A D^-1/2 x
@@ -205,8 +211,8 @@ def laplacian_eigenmaps(graph: Graph, dim: int, iters: int = 60, seed: int = 0)
             .alias("v"),
         )
 
-    x, values = _iterate(graph, dim, iters, seed, apply)
-    return x.select("id", F.slice("v", 2, dim).alias("v")), 2.0 - values[1:]
+    x, values = _iterate(graph, k, iters, seed, apply)
+    return x.select("id", F.slice("v", 2, dim).alias("v")), 2.0 - values[1 : dim + 1]
 
 
 def locally_linear(graph: Graph, dim: int, iters: int = 60, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
@@ -215,7 +221,7 @@ def locally_linear(graph: Graph, dim: int, iters: int = 60, seed: int = 0) -> tu
     Iterates on cI - M'M; the largest singular value of M is bounded by
     1 + sqrt(max degree / min degree).
     """
-    k = dim + 1
+    k = _width(graph, dim)
     lo, hi = graph.nodes.filter("deg > 0").agg(F.min("deg"), F.max("deg")).first()
     c = (1.0 + float(np.sqrt(hi / lo))) ** 2
     deg = graph.nodes.select("id", F.greatest("deg", F.lit(1)).cast("double").alias("deg"))
@@ -235,8 +241,8 @@ def locally_linear(graph: Graph, dim: int, iters: int = 60, seed: int = 0) -> tu
             "id", F.zip_with("v", "y", lambda a, b: a * F.lit(c) - b).alias("v")
         )
 
-    x, values = _iterate(graph, dim, iters, seed, apply)
-    return x.select("id", F.slice("v", 2, dim).alias("v")), np.sqrt(np.maximum(c - values[1:], 0.0))
+    x, values = _iterate(graph, k, iters, seed, apply)
+    return x.select("id", F.slice("v", 2, dim).alias("v")), np.sqrt(np.maximum(c - values[1 : dim + 1], 0.0))
 
 
 def factorise(graph: Graph, dim: int, iters: int = 30, rate: float = 0.1, ridge: float = 0.05, seed: int = 0) -> DataFrame:
