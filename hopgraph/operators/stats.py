@@ -27,14 +27,17 @@ def degree_stats(nodes: DataFrame) -> DataFrame:
     ).withColumn("ratio", F.col("m") / F.col("n"))
 
 
-def eccentricity_bounds(graph: Graph, batch: int = 16) -> tuple[DataFrame, int, int]:
+def eccentricity_bounds(
+    graph: Graph, batch: int = 16, growth: int = 4, budget: int = ROW_BUDGET
+) -> tuple[DataFrame, int, int]:
     """Bounds ``(id, lo, up)`` tight enough to fix diameter and radius, and both values.
 
     A search from s bounds every node v: max(d, ecc(s) - d) <= ecc(v) <= ecc(s) + d.
     Each round searches from the nodes with the largest upper and the smallest
-    lower bound and then drops all nodes that can change neither extreme, so
-    a handful of searches replaces the n searches of an all-pairs table.
-    The graph must be connected.
+    lower bound and then drops all nodes that can change neither extreme.
+    The batch grows by ``growth`` per round up to ``budget`` rows, so graphs on
+    which the bounds stay loose need a logarithmic number of rounds instead of
+    n / batch.  The graph must be connected.
     """
     scratch = Scratch(graph.spark, "ecc")
     bounds = scratch.cut(
@@ -54,15 +57,16 @@ def eccentricity_bounds(graph: Graph, batch: int = 16) -> tuple[DataFrame, int,
             )
         )
         ext = bounds.agg(F.max("lo").alias("diam"), F.min("up").alias("rad")).first()
-        useful = bounds.filter(
-            (F.col("lo") < F.col("up")) & ((F.col("up") > ext.diam) | (F.col("lo") < ext.rad))
-        )
-        half = max(1, batch // 2)
-        far = useful.orderBy(F.desc("up"), F.desc("deg"), "id").limit(half).select("id")
-        near = useful.orderBy("lo", F.desc("deg"), "id").limit(half).select("id")
-        chosen, left = scratch.save(far.union(near).distinct())
-        if not left:
+        loose = bounds.filter("lo < up")
+        useful = loose.filter((F.col("up") > ext.diam) | (F.col("lo") < ext.rad))
+        if useful.isEmpty():
             return bounds.select("id", "lo", "up"), ext.diam, ext.rad
+        batch = max(2, min(batch * growth, budget // graph.n))
+        half = batch // 2
+        # far nodes settle the diameter; central nodes give the tightest upper bounds
+        far = useful.orderBy(F.desc("up"), F.desc("deg"), "id").limit(half).select("id")
+        near = loose.orderBy("lo", F.desc("deg"), "id").limit(half).select("id")
+        chosen = scratch.cut(far.union(near).distinct())
 
 
 def diameter_radius(graph: Graph, batch: int = 16) -> DataFrame:
