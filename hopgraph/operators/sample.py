@@ -123,9 +123,19 @@ def range_rows(
     return want.join(dist, ["a", "b"]).select("src", "dst", "a", "b", "d")
 
 
-def pack_ranges(rows: DataFrame) -> DataFrame:
-    """Rows to ``(src, dst, rng array<struct<a,b,d>>)``; bounded by the neighbour cap."""
-    return rows.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("a", "b", "d"))).alias("rng"))
+def pack_ranges(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """Rows to ``(src, dst, rng array<struct<a,b,d>>)``.
+
+    A pair with more than ``block`` rows (a hub without a neighbour cap) is
+    packed into several rows of about that size.
+    """
+    sizes = rows.groupBy("src", "dst").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("parts"))
+    large = sizes.filter("parts > 1")
+    part = F.coalesce(h2("a", "b", 97) % F.col("parts"), F.lit(0))
+    tagged = rows.join(large, ["src", "dst"], "left").withColumn("part", part)
+    return tagged.groupBy("src", "dst", "part").agg(
+        F.array_sort(F.collect_list(F.struct("a", "b", "d"))).alias("rng")
+    ).drop("part")
 
 
 def top_degree_ranges(
