@@ -248,11 +248,22 @@ def degree_stats(spark, sf):
 @register(
     "diameter_radius",
     S.query(
-        S.graph("follow") + APSP + ["ecc as (select k, max(d) as x from bfs group by k)"],
+        S.graph("supply") + APSP + ["ecc as (select k, max(d) as x from bfs group by k)"],
         "select max(x) as diameter, min(x) as radius from ecc",
     ),
 )
 def diameter_radius(spark, sf):
+    return C.diameter_radius(graphs.graph(spark, sf, "supply"))
+
+
+@register(
+    "diameter_radius_follow",
+    S.query(
+        S.graph("follow") + APSP + ["ecc as (select k, max(d) as x from bfs group by k)"],
+        "select max(x) as diameter, min(x) as radius from ecc",
+    ),
+)
+def diameter_radius_follow(spark, sf):
     return C.diameter_radius(graphs.graph(spark, sf, "follow"))
 
 
