@@ -62,14 +62,17 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(spark.createDataFrame([], schema).schema)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], blocks: int, name: str) -> DataFrame:
+def numbered(
+    df: DataFrame, group: list[str], order: list[str], blocks: int, name: str, block: Column | None = None
+) -> DataFrame:
     """Add ``name``: gapless numbers from 0 inside each group, ordered by (block, ``order``).
 
-    A group may hold any share of all rows: rows are ranked inside hash blocks of ``order``
-    and shifted by the counts of the blocks before, so that no task sorts a whole group.
-    The table of counts has at most groups x ``blocks`` rows.
+    A group may hold any share of all rows: rows are ranked inside blocks (by default a hash
+    of ``order``) and shifted by the counts of the blocks before, so that no task sorts a
+    whole group.  The table of counts has at most groups x ``blocks`` rows.
     """
-    df = df.withColumn("_block", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(blocks)).cast("int"))
+    hashed = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(blocks))
+    df = df.withColumn("_block", (hashed if block is None else block).cast("int"))
     keys = ", ".join(group)
     counts = df.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     shifts = counts.selectExpr(
