@@ -6,6 +6,7 @@ from hopgraph.llm.chat import OP7_SQL, op7_chat_format
 from hopgraph.llm.decontaminate import OP1_SQL, op1_contamination
 from hopgraph.llm.html import op6_main_text
 from hopgraph.llm.pack import op5_packing
+from hopgraph.llm.ppm import op4_lm_score
 from hopgraph.llm.quality import op3_quality
 from hopgraph.llm.shard import op8_sharding
 from hopgraph.llm.simhash import op2_near_duplicates
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_contamination": op1_contamination,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_quality": op3_quality,
+    "op4_lm_score": op4_lm_score,
     "op5_packing": op5_packing,
     "op6_main_text": op6_main_text,
     "op7_chat_format": op7_chat_format,
