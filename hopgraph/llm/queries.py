@@ -8,6 +8,7 @@ from hopgraph.llm.html import op6_main_text
 from hopgraph.llm.pack import op5_packing
 from hopgraph.llm.ppm import op4_lm_score
 from hopgraph.llm.quality import op3_quality
+from hopgraph.llm.repeats import op10_repeats
 from hopgraph.llm.shard import op8_sharding
 from hopgraph.llm.simhash import op2_near_duplicates
 from hopgraph.llm.topk import OP9_SQL, op9_top_k
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
     "op9_top_k": op9_top_k,
+    "op10_repeats": op10_repeats,
 }
 
 SQL = {"op1_contamination": OP1_SQL, "op7_chat_format": OP7_SQL, "op9_top_k": OP9_SQL}
