@@ -18,6 +18,8 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, wherever they start; once per application."""
+    if spark.conf.get(_BATCH, "64m").lower().rstrip("b") in ("67108864", "64m"):  # Spark's own value: texts need less
+        spark.conf.set(_BATCH, "16m")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -42,16 +44,29 @@ def utf8(column: str = "text") -> Column:
     return F.col(column).cast("binary")
 
 
+#: Bytes of Arrow data that a worker turns into Python objects at a time.
+SLICE_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``SLICE_BYTES``, without the empty ones."""
+    for batch in batches:
+        if batch.num_rows:
+            step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, SLICE_BYTES))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, *args) -> DataFrame:
     """``fn(columns, *args)`` on each Arrow batch, given and returning lists by column name."""
     out = arrow_schema(df.sparkSession, schema)
     ship(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                got = fn({k: batch.column(k) for k in batch.schema.names}, *args)
-                yield pa.RecordBatch.from_pydict(got, schema=out)
+        for batch in slices(batches):
+            got = fn({k: batch.column(k) for k in batch.schema.names}, *args)
+            yield pa.RecordBatch.from_pydict(got, schema=out)
 
     return df.mapInArrow(run, schema)
 
