@@ -109,7 +109,8 @@ def components(edges: DataFrame, work: Scratch) -> DataFrame:
     label, so that paths shrink by doubling; it ends when no label changes.  Minima combine
     before the shuffle and hot nodes are split by adaptive joins.
     """
-    arcs = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    arcs = edges.select(F.inline(F.array(there, back)))
     arcs, n = work.save(arcs.filter("a <> b").distinct(), "arcs")
     labels, _ = work.save(arcs.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "l0")
     step = 0

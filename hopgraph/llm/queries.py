@@ -8,8 +8,8 @@ from hopgraph.llm.html import op6_main_text
 from hopgraph.llm.pack import op5_packing
 from hopgraph.llm.ppm import op4_lm_score
 from hopgraph.llm.quality import op3_quality
-from hopgraph.llm.repeats import op10_repeats
-from hopgraph.llm.shard import op8_sharding
+from hopgraph.llm.repeats import OP10_SQL, op10_repeats
+from hopgraph.llm.shard import OP8_SQL, op8_sharding
 from hopgraph.llm.simhash import op2_near_duplicates
 from hopgraph.llm.topk import OP9_SQL, op9_top_k
 
@@ -26,4 +26,10 @@ QUERIES = {
     "op10_repeats": op10_repeats,
 }
 
-SQL = {"op1_contamination": OP1_SQL, "op7_chat_format": OP7_SQL, "op9_top_k": OP9_SQL}
+SQL = {
+    "op1_contamination": OP1_SQL,
+    "op7_chat_format": OP7_SQL,
+    "op8_sharding": OP8_SQL,
+    "op9_top_k": OP9_SQL,
+    "op10_repeats": OP10_SQL,
+}

@@ -368,3 +368,25 @@ def op10_repeats(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP10_SQL = """
+with d as (
+  select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents
+), s as (
+  select r, i, md5(substr(x, 2 * i + 1, 400)) as k from (select r, x, unnest(range(0, length(x) // 2 - 199)) as i from d)
+), hit as (
+  select r, i from s where k in (select k from s group by k having count(*) > 1)
+), island as (
+  select r, i, sum(case when i > p + 200 then 1 else 0 end) over (partition by r order by i) as g
+  from (select r, i, lag(i, 1, -1000) over (partition by r order by i) as p from hit)
+), span as (
+  select r, min(i) as a, max(i) + 200 as b from island group by r, g
+), gone as (
+  select r, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' order by a) as head, max(b) as stop, sum(b - a) as removed, count(*) as n
+  from (select *, lag(b, 1, 0) over (partition by r order by a) as p from span) join d using (r) group by r
+)
+select doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed,
+  cast(coalesce(n, 0) as bigint) as n_spans, sha256(unhex(coalesce(head || substr(x, 2 * stop + 1), x))) as kept_sha256
+from d left join gone using (r)
+"""

@@ -65,3 +65,31 @@ def write_shards(docs: DataFrame, weights: list[float], path: str) -> None:
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
     found = shard_documents(table(spark, sf_dir, "documents"), [1.0] * 16)
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+OP8_SQL = """
+with recursive step(i, k, c) as (
+  select i, 0, i from range(256) r(i)
+  union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from step where k < 8
+), remainders as (
+  select list(c order by i) as t from step where k = 8
+), doc as (
+  select doc_id, coalesce(text, '') as s, coalesce(cast(doc_id as varchar), '') as k from documents
+), sized as (
+  select doc_id, k, cast(octet_length(encode(s)) + 1 as bigint) as size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda h: cast('0x' || h as bigint))),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as text_crc32,
+    cast('0x' || md5(k)[1:8] as bigint) as place
+  from doc, remainders
+), bid as (
+  select doc_id, k, n, 1.0 / -ln((cast(cast('0x' || md5(k || ':' || n)[1:13] as bigint) as double) + 0.5) / 4503599627370496.0) as b
+  from (select distinct doc_id, k from doc), range(17) r(n)
+), owned as (
+  select k, max_by(n, (b, n)) filter (n < 16) as shard, max_by(n, (b, n)) as grown from bid group by k
+)
+select doc_id, size, text_crc32, 'key' as law, cast(shard as integer) as shard,
+  row_number() over (partition by shard order by place % 256, place, doc_id, text_crc32, size) - 1 as slot,
+  cast(grown as integer) as grown_shard
+from sized join owned using (k)
+"""
