@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,6 +13,7 @@ from hopgraph.functions.hashing import h
 from hopgraph.operators.embed import embed
 from hopgraph.operators.graph import Graph
 from hopgraph.operators.shape import top_degree
+from hopgraph.operators.traverse import cached_components
 from hopgraph.plans.numbering import number_rows
 from hopgraph.plans.scratch import Scratch
 
@@ -47,7 +49,7 @@ def choose_seeds(
     return number_rows(ranked.join(taken, "id", "left_semi"), "rk", name="rank").select("id", F.col("rank").alias("rk"))
 
 
-def grow(graph: Graph, seeds: DataFrame, growth: float = 0.0, max_rounds: int = 100_000) -> DataFrame:
+def grow(graph: Graph, seeds: DataFrame, growth: float = 0.0) -> DataFrame:
     """H2: ``(id, center, rk)`` - synchronous rounds of cluster growth.
 
     Every round a cluster takes its best free neighbours by
@@ -55,6 +57,8 @@ def grow(graph: Graph, seeds: DataFrame, growth: float = 0.0, max_rounds: int =
     goes to the seed with the better rank.  ``growth = 0`` takes one node per
     round as the sequential rule does; with ``growth = g`` a cluster takes
     ``ceil(g * size)``, so large clusters need a logarithmic number of rounds.
+    A component without a seed becomes a cluster of its own around its smallest
+    node, ranked after all seeds, so that every node has a cluster.
     """
     scratch = Scratch(graph.spark, "grow")
     deg = graph.nodes.select("id", "deg", "blks")
@@ -62,7 +66,7 @@ def grow(graph: Graph, seeds: DataFrame, growth: float = 0.0, max_rounds: int =
     names = ["new0"]
     schema = new.schema
     links = None
-    for r in range(1, max_rounds + 1):
+    for r in count(1):
         members = scratch.read_many(names, schema)
         touch = graph.expand(new).groupBy("center", "rk", F.col("dst").alias("id")).agg(
             F.first("dst_blks").alias("blks"), F.count(F.lit(1)).alias("links")
@@ -95,7 +99,14 @@ def grow(graph: Graph, seeds: DataFrame, growth: float = 0.0, max_rounds: int =
             f"new{r}",
         )
         names.append(f"new{r}")
-    return scratch.read_many(names, schema).select("id", "center", "rk")
+    taken = scratch.read_many(names, schema).select("id", "center", "rk")
+    alone, left = scratch.save(cached_components(graph).join(taken.select("id"), "id", "left_anti"), "alone")
+    if not left:
+        return taken
+    after = (seeds.agg(F.max("rk")).first()[0] or 0) + 1
+    centers = number_rows(alone.select("comp").distinct(), "comp", name="nr")
+    extra = alone.join(centers, "comp").select("id", F.col("comp").alias("center"), (F.col("nr") + after).alias("rk"))
+    return scratch.cut(taken.union(extra), "members")
 
 
 def quotient(arcs: DataFrame, members: DataFrame) -> DataFrame:
@@ -131,7 +142,7 @@ class Hierarchy:
             nodes.append(members.select(F.lit(level).alias("level"), "id", "center", F.col("rk").alias("up_id")))
             upper = scratch.cut(quotient(current.arcs, members))
             arcs.append(upper.select(F.lit(level + 1).alias("level"), "src", "dst"))
-            current = Graph.build(upper, nodes=seeds.select(F.col("rk").alias("id")), hub_block=graph.hub_block)
+            current = Graph.build(upper, nodes=members.select(F.col("rk").alias("id")).distinct(), hub_block=graph.hub_block)
             level += 1
         node_table = nodes[0]
         for t in nodes[1:]:

@@ -8,6 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopgraph.operators.graph import Graph
+from hopgraph.operators.traverse import cached_components, distances
+from hopgraph.plans.scratch import Scratch
+
+FAR = 20  # finite distance that stands for "not reachable" (D8)
 UNREACHABLE = 9999  # fixed value: answer of a label query without a shared hub
 
 
@@ -58,6 +63,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def home_table(graph: Graph) -> DataFrame:
+    """``(id, home, hd)``: the best connected node of each component and the hops to it."""
+    best = cached_components(graph).join(graph.nodes.select("id", "deg"), "id").groupBy("comp").agg(
+        F.max_by("id", F.struct("deg", (-F.col("id")).alias("n"))).alias("id")
+    )
+    reached = distances(graph, best.select("id"), key="home").select("id", "home", F.col("d").alias("hd"))
+    return Scratch(graph.spark, "home").cut(reached)
+
+
+def answer_all(answers: DataFrame, home: DataFrame, far: int = FAR) -> DataFrame:
+    """An answer for every pair: 0 for equal ends, ``far`` (D8) between components, and the
+    way through the component's home where the oracle has none."""
+    ends = attach(attach(answers, home, "home"), home, "hd")
+    same = F.col("home_s") == F.col("home_d")
+    est = F.when(F.col("src") == F.col("dst"), F.lit(0.0)).when(
+        same, F.coalesce(F.col("est").cast("double"), (F.col("hd_s") + F.col("hd_d")).cast("double"))
+    ).otherwise(F.lit(float(far)))
+    return ends.select("src", "dst", est.alias("est"))
+
+
 def attach(pairs: DataFrame, facts: DataFrame, value: str, how: str = "left") -> DataFrame:
     """Join one value column of ``facts(id, value)`` to both ends: ``{value}_s``, ``{value}_d``."""
     a = facts.select(F.col("id").alias("src"), F.col(value).alias(f"{value}_s"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hopgraph.functions.vectors import dot
 from hopgraph.operators.graph import Graph
-from hopgraph.operators.oracles.base import Oracle, attach
+from hopgraph.operators.oracles.base import Oracle, answer_all, attach, home_table
 from hopgraph.operators.oracles.landmark import choose_landmarks, pack
 from hopgraph.operators.predict import adjacency_override
 from hopgraph.operators.traverse import cached_components, landmark_table
@@ -50,14 +50,16 @@ class CoordinateOracle(Oracle):
         spark = graph.spark
         ids = spark.createDataFrame([(v,) for v in chosen], "id bigint")
         comp = {r.id: r.comp for r in cached_components(graph).join(F.broadcast(ids), "id", "left_semi").collect()}
-        chosen = [v for v in chosen if comp[v] == comp[chosen[0]]]  # one system needs finite distances
-        vec = scratch.cut(pack(landmark_table(graph, ids.filter(F.col("id").isin(chosen))), chosen))
+        vec = scratch.cut(pack(landmark_table(graph, ids), chosen))
         small = {r.id: r.dv for r in vec.filter(F.col("id").isin(chosen)).collect()}  # landmarks only
         square = np.array([small[v] for v in chosen], dtype=float)
-        k = min(init_sz, len(chosen))
-        start = fit_initial(square[:k, :k], min(dim, k))
-        later = solve_rows(start, square[k:, :k])
-        basis = np.vstack([start, later])
+        basis = np.zeros((len(chosen), dim))
+        for c in dict.fromkeys(comp[v] for v in chosen):  # one system needs finite distances: one per component
+            own = np.array([i for i, v in enumerate(chosen) if comp[v] == c])
+            k = min(init_sz, len(own))
+            start = fit_initial(square[np.ix_(own[:k], own[:k])], min(dim, k))
+            basis[own[:k], : start.shape[1]] = start
+            basis[own[k:], : start.shape[1]] = solve_rows(start, square[np.ix_(own[k:], own[:k])])
 
         def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -67,11 +69,16 @@ class CoordinateOracle(Oracle):
 
         asked = vec.select("id", F.transform("dv", lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))).alias("dv"))
         coords = scratch.cut(asked.mapInPandas(place, "id bigint, v array<double>"))
-        return cls({"coords": coords}, {"landmarks": chosen, "dim": dim})
+        # a single landmark spans no system: its component is answered through the home
+        many = [v for v in chosen if sum(comp[x] == comp[v] for x in chosen) > 1]
+        placed = cached_components(graph).filter(F.col("comp").isin([comp[v] for v in many])).select("id")
+        coords = coords.join(placed, "id", "left_semi")
+        return cls({"coords": coords, "home": home_table(graph)}, {"landmarks": chosen, "dim": dim})
 
     def query(self, pairs: DataFrame) -> DataFrame:
         ends = attach(pairs.select("src", "dst").distinct(), self.tables["coords"], "v")
-        return ends.select("src", "dst", dot(F.col("v_s"), F.col("v_d")).alias("est"))
+        est = ends.select("src", "dst", dot(F.col("v_s"), F.col("v_d")).alias("est"))
+        return answer_all(est, self.tables["home"])
 
 
 class AdjacentExactOracle(CoordinateOracle):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,14 @@ def node_order(graph: Graph, by: str = "degree", seed: int = 0, samples: int = 2
 
 
 def sampled_tree_order(
-    graph: Graph, roots: int = 16, per_round: int = 16, rounds: int = 8, seed: int = 0
+    graph: Graph, roots: int = 16, per_round: int = 16, seed: int = 0
 ) -> DataFrame:
     """Hub order from sampled shortest-path trees.
 
     Score a node by the tree descendants it covers over all sampled trees, take
-    the best ``per_round`` nodes, cut their subtrees, score again.  Nodes never
-    taken follow by degree.
+    the best nodes, cut their subtrees, score again, until no tree node is left.
+    The first round takes ``per_round`` nodes, each later one twice as many, so
+    that rounds follow the logarithm of the graph.  Nodes in no tree follow by degree.
     """
     spark = graph.spark
     scratch = Scratch(spark, "treeorder")
@@ -35,19 +38,19 @@ def sampled_tree_order(
     sweep = sweep_from(graph, picks, carry=("parent",)).run()
     live = scratch.cut(sweep.table().select("src", "id", "parent", "d", F.lit(False).alias("gone")))
     taken = None
-    for r in range(rounds):
+    for r in count():
         size = _live_sizes(live, sweep.depth, scratch)
         score = size.groupBy("id").agg(F.sum("size").alias("score"))
         if taken is not None:
             score = score.join(taken, "id", "left_anti")
         best, n = scratch.save(
-            score.orderBy(F.desc("score"), "id").limit(per_round).select("id", F.lit(r).alias("round"), "score")
+            score.orderBy(F.desc("score"), "id").limit(per_round << min(r, 24)).select("id", F.lit(r).alias("round"), "score")
         )
         if not n:
             break
         taken = best if taken is None else taken.union(best)
         live = _cut_subtrees(live, best, sweep.depth, scratch)
-    left = graph.nodes.select("id", F.lit(rounds).alias("round"), F.col("deg").alias("score"))
+    left = graph.nodes.select("id", F.lit(r).alias("round"), F.col("deg").alias("score"))
     if taken is not None:
         left = taken.union(left.join(taken, "id", "left_anti"))
     return number_rows(left, "round", F.desc("score"), "id", name="rk").select("id", "rk")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hopgraph.functions.vectors import sq_l2
 from hopgraph.operators import embed as E
 from hopgraph.operators.graph import Graph
-from hopgraph.operators.oracles.base import Oracle, attach
+from hopgraph.operators.oracles.base import Oracle, answer_all, attach, home_table
 from hopgraph.operators.oracles.landmark import choose_landmarks, pack
 from hopgraph.operators.predict import BoostedDecoder, MLPDecoder, adjacency_override, pair_features
 from hopgraph.operators.sample import negative_samples, train_pairs
@@ -37,6 +37,8 @@ class DecodedOracle(Oracle):
             "src", "dst", F.col("pred").alias("est")
         )
         out = asked.join(got, ["src", "dst"], "left")
+        if "home" in self.tables:
+            out = answer_all(out.select("src", "dst", "est"), self.tables["home"])
         if "arcs" in self.tables:
             out = adjacency_override(out, self.tables["arcs"], "est")
         return out.select("src", "dst", "est")
@@ -104,7 +106,7 @@ def boosted_oracle(graph: Graph, landmarks: int = 16, trees: int = 20, grid: dic
     chosen, _, table = _landmarks(graph, landmarks, seed=seed)
     emb = Scratch(graph.spark, "boosted").cut(E.distance_vectors(pack(table, chosen)))
     rows = pair_features(train_pairs(table), emb)
-    return DecodedOracle.made(emb, BoostedDecoder.fit(rows, trees, seed, grid), {"landmarks": chosen})
+    return DecodedOracle.made(emb, BoostedDecoder.fit(rows, trees, seed, grid), {"landmarks": chosen}, home=home_table(graph))
 
 
 def walk_oracle(
@@ -117,7 +119,7 @@ def walk_oracle(
     emb = scratch.cut(E.skipgram(corpus, dim, window, 1, seed, nodes=graph.n))
     _, _, table = _landmarks(graph, landmarks, seed=seed)
     net = MLPDecoder.fit(pair_features(train_pairs(table), emb), 2 * dim, epochs=epochs, softplus=True, seed=seed)
-    return DecodedOracle.made(emb, net, {"dim": dim})
+    return DecodedOracle.made(emb, net, {"dim": dim}, home=home_table(graph))
 
 
 def star_oracle(
@@ -130,7 +132,7 @@ def star_oracle(
     roots = scratch.cut(roots_by_frequency(corpus).limit(landmarks).select("id"))
     table = landmark_table(graph, roots)
     net = MLPDecoder.fit(pair_features(train_pairs(table), emb), 2 * dim, epochs=epochs, softplus=True, seed=seed)
-    return DecodedOracle.made(emb, net, {"dim": dim})
+    return DecodedOracle.made(emb, net, {"dim": dim}, home=home_table(graph))
 
 
 def similarity_oracle(
@@ -144,7 +146,7 @@ def similarity_oracle(
     samples = scratch.cut(negative_samples(near, graph.nodes, graph.n, negatives, seed))
     emb = E.fit_cosine(samples, E.random_vectors(graph.nodes, dim, seed), dim, iters)
     net = MLPDecoder.fit(pair_features(train, emb), 2 * dim, epochs=epochs, softplus=True, seed=seed)
-    return DecodedOracle.made(emb, net, {"dim": dim})
+    return DecodedOracle.made(emb, net, {"dim": dim}, home=home_table(graph))
 
 
 @dataclass(frozen=True)
@@ -206,7 +208,7 @@ def centrality_oracle(graph: Graph, s: CentralityWalk = CentralityWalk()) -> Dec
         if s.stack_net:
             decoder = StackedDecoder.fit(rows, decoder, s.trees, s.seed)
     extra = {} if s.fast_query else {"arcs": graph.arcs}
-    return DecodedOracle.made(emb, decoder, {"dim": s.dim}, **extra)
+    return DecodedOracle.made(emb, decoder, {"dim": s.dim}, home=home_table(graph), **extra)
 
 
 class SquaredDistanceOracle(Oracle):

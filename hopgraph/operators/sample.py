@@ -124,18 +124,16 @@ def range_rows(
 
 
 def pack_ranges(rows: DataFrame, block: int = 4096) -> DataFrame:
-    """Rows to ``(src, dst, rng array<struct<a,b,d>>)``.
+    """Rows to ``(src, dst, part, parts, rng array<struct<a,b,d>>)``.
 
-    A pair with more than ``block`` rows (a hub without a neighbour cap) is
-    packed into several rows of about that size.
+    Every pair is packed into ``parts`` rows of about ``block`` cells, numbered
+    from 0; a hub without a neighbour cap simply has more of them.
     """
     sizes = rows.groupBy("src", "dst").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("parts"))
-    large = sizes.filter("parts > 1")
-    part = F.coalesce(h2("a", "b", 97) % F.col("parts"), F.lit(0))
-    tagged = rows.join(large, ["src", "dst"], "left").withColumn("part", part)
-    return tagged.groupBy("src", "dst", "part").agg(
+    tagged = rows.join(sizes, ["src", "dst"]).withColumn("part", h2("a", "b", 97) % F.col("parts"))
+    return tagged.groupBy("src", "dst", "part", "parts").agg(
         F.array_sort(F.collect_list(F.struct("a", "b", "d"))).alias("rng")
-    ).drop("part")
+    )
 
 
 def top_degree_ranges(

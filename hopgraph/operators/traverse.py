@@ -343,15 +343,12 @@ def landmark_table(graph: Graph, landmarks: DataFrame, carry: tuple[str, ...] =
     return distances(graph, landmarks, carry=carry, key="lm")
 
 
-def all_pairs(graph: Graph, limit: int = 50_000_000) -> DataFrame:
-    """Every reachable ordered pair.
+def all_pairs(graph: Graph) -> DataFrame:
+    """Every reachable ordered pair, up to n^2 rows.
 
-    The result has up to n^2 rows, so the size is checked first; the statistics
-    that only aggregate this table (diameter, betweenness) have their own
-    batched forms without the limit.
+    What only aggregates this table (diameter, betweenness, scores by distance)
+    has forms that start from stated sources.
     """
-    if graph.n * graph.n > limit:
-        raise ValueError(f"{graph.n} nodes give more than {limit} pairs; raise limit explicitly")
     return distances(graph, graph.nodes)
 
 

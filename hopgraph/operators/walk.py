@@ -300,7 +300,8 @@ def resample(
 ) -> DataFrame:
     """Draw nodes with weight alpha^d * score from those seen by a root, root first.
 
-    ``use_distance=False`` draws uniformly.
+    ``use_distance=False`` draws uniformly.  A root that saw nothing keeps walks
+    of itself alone.
     """
     seen = bounds.filter("id <> root")
     weight = F.pow(F.lit(float(alpha)), F.col("bound")) if use_distance else F.lit(1.0)
@@ -316,8 +317,10 @@ def resample(
     asks = asks.withColumn("x", draw(seed, "root", "wid", "pos") * F.col("nb")).withColumn("bucket", F.floor("x"))
     got = asks.drop("nb").join(table, ["root", "bucket"]).filter("x >= lo and x < hi")
     drawn = got.groupBy("root", "wid").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("a"))
-    return drawn.select(
-        "root", "wid", F.concat(F.array("root"), F.transform("a", lambda r: r["id"])).alias("path")
+    every = bounds.select("root").distinct().withColumn("wid", F.explode(F.sequence(F.lit(0), F.lit(out_walks - 1))))
+    steps = F.transform("a", lambda r: r["id"])
+    return every.join(drawn, ["root", "wid"], "left").select(
+        "root", "wid", F.concat(F.array("root"), F.coalesce(steps, F.array().cast("array<bigint>"))).alias("path")
     )
 
 

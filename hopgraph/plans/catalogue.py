@@ -675,13 +675,14 @@ def pairs_range_top(spark, sf):
     S.query(
         S.graph("link") + S.drawn("nodes", "nodes", 1, 10) + [_CLOSED] + _range_sql("closed") + APSP
         + [f"r as ({_RANGE_BODY})"],
-        """select src, dst, string_agg(a || '&' || b || '&' || d || '@', '' order by a, b) as rng from r group by src, dst""",
+        """select src, dst, string_agg(a || '&' || b || '&' || d || '@', '' order by a, b) as rng,
+0::bigint as part, 1::bigint as parts from r group by src, dst""",
     ),
 )
 def ranges_packed(spark, sf):
     packed = P.pack_ranges(pairs_range(spark, sf))
     cell = F.transform("rng", lambda r: F.concat(F.concat_ws("&", r["a"], r["b"], r["d"]), F.lit("@")))
-    return packed.select("src", "dst", F.array_join(cell, "").alias("rng"))
+    return packed.select("src", "dst", F.array_join(cell, "").alias("rng"), "part", "parts")
 
 
 @register(
@@ -848,7 +849,7 @@ def pll_closeness_query(spark, sf):
 )
 def pll_tree_order_query(spark, sf):
     g, pairs = _classical(spark, sf, 5, 19)
-    return LabelOracle.build(g, order=sampled_tree_order(g, rounds=2)).query(pairs)
+    return LabelOracle.build(g, order=sampled_tree_order(g)).query(pairs)
 
 
 @register(

@@ -354,6 +354,42 @@ def coords_adjacent_query(spark, sf):
     return _answers(lambda g: AdjacentExactOracle.build(g, landmarks=24), spark, sf, name="supply")
 
 
+_ANSWERED = S.query(
+    S.graph("link") + S.drawn("nodes", "nodes", 4, 30) + APSP,
+    """select count(*) as pairs, count(b.d) as reachable, count(*) as answered, count(b.d) filter (b.d <= 1) as near,
+count(*) - count(b.d) as far from drawn p left join bfs b on b.k = p.src and b.id = p.dst""",
+)
+
+
+def _answered(oracle, spark, sf):
+    """Pairs, reachable and answered ones; equal or adjacent ends and components kept apart."""
+    g, pairs = _classical(spark, sf, 4, 30)
+    got = T.pair_distances(g, pairs).join(oracle(g).query(pairs), ["src", "dst"])
+    count = lambda what: F.coalesce(F.sum(F.expr(what).cast("bigint")), F.lit(0)).alias
+    return got.agg(
+        F.count(F.lit(1)).alias("pairs"),
+        count("d >= 0")("reachable"),
+        F.count("est").alias("answered"),
+        count("d between 0 and 1 and est = d")("near"),
+        count("d < 0 and est = 20")("far"),
+    )
+
+
+@register("coords_answered", _ANSWERED)
+def coords_answered(spark, sf):
+    return _answered(lambda g: AdjacentExactOracle.build(g, landmarks=24), spark, sf)
+
+
+@register("oracle_boosted_answered", _ANSWERED)
+def oracle_boosted_answered(spark, sf):
+    def oracle(g):
+        made = L.boosted_oracle(g, 8, 5)
+        made.tables["arcs"] = g.arcs
+        return made
+
+    return _answered(oracle, spark, sf)
+
+
 @register("oracle_boosted")
 def oracle_boosted(spark, sf):
     return _answers(lambda g: L.boosted_oracle(g, 8, 5), spark, sf)
@@ -461,13 +497,13 @@ def _evaluated(spark, sf):
     "mae_mre_by_length",
     S.query(
         _eval_order(_EVAL),
-        """select d, round(avg(abs(est - d)), 6) as mae, round(avg(abs(est - d) / d), 6) as mre, count(*) as cnt
-from ev where d > 0 and est is not null group by rollup (d)""",
+        """select d, round(avg(abs(coalesce(est, 20) - d)), 6) as mae, round(avg(abs(coalesce(est, 20) - d) / d), 6) as mre, count(*) as cnt,
+count(*) - count(est) as unanswered from ev where d > 0 group by rollup (d)""",
     ),
 )
 def mae_mre_by_length(spark, sf):
-    out = V.error_by_length(_evaluated(spark, sf).filter("est is not null"), "est")
-    return out.select("d", F.round("mae", 6).alias("mae"), F.round("mre", 6).alias("mre"), "cnt")
+    out = V.error_by_length(_evaluated(spark, sf), "est")
+    return out.select("d", F.round("mae", 6).alias("mae"), F.round("mre", 6).alias("mre"), "cnt", "unanswered")
 
 
 @register(
@@ -542,14 +578,14 @@ def order_preservation(spark, sf):
 @register(
     "score_by_distance",
     S.query(
-        S.graph("follow") + APSP + [_VEC],
+        S.graph("follow") + [S.top(16), S.bfs(), _VEC],
         """select b.d, round(avg(list_dot_product(x.v, y.v)), 6) as mean, round(min(list_dot_product(x.v, y.v)), 6) as low,
 round(max(list_dot_product(x.v, y.v)), 6) as high, count(*) as cnt from bfs b join emb x on x.id = b.k join emb y on y.id = b.id where b.d > 0 group by b.d""",
     ),
 )
 def score_by_distance(spark, sf):
     g = graphs.graph(spark, sf, "follow")
-    pairs = T.all_pairs(g).filter("d > 0").select("src", F.col("id").alias("dst"), "d")
+    pairs = P.landmark_pairs(g, _top(g, 16)).filter("d > 0")
     out = V.score_by_distance(D.closed_scores(pairs, _emb(spark, sf)), "dot")
     return out.select("d", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "cnt")
 
@@ -565,7 +601,7 @@ def score_by_distance(spark, sf):
   join bfs du on du.k = u.dst and du.id = p.dst join bfs dv on dv.k = p.src and dv.id = v.dst)""",
             "uv as (select distinct u, v from blk)",
             "est as (select uv.u, uv.v, min(x.d + y.d) as e from uv join lmd x on x.id = uv.u join lmd y on y.id = uv.v and y.k = x.k group by uv.u, uv.v)",
-            "per as (select src, dst, sum(s * e)::double / count(*) as r from blk join est using (u, v) group by src, dst)",
+            "per as (select src, dst, sum(s * coalesce(e, 20))::double / count(*) as r from blk left join est using (u, v) group by src, dst)",
         ],
         "select round(avg(r * r), 6) as smoothness, count(*) as cnt from per",
     ),
@@ -576,7 +612,7 @@ def local_smoothness(spark, sf):
     base = scratch.cut(T.pair_distances(g, pairs).filter("d > 0"))
     rows = scratch.cut(V.smoothness_rows(g, base))
     asked = rows.select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct()
-    est = LandmarkOracle.build(g, 8).query(asked).filter("est is not null")
+    est = LandmarkOracle.build(g, 8).query(asked)
     pred = est.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("est").alias("pred"))
     return V.local_smoothness(rows, pred, base).select(F.round("smoothness", 6).alias("smoothness"), "cnt")
 
@@ -586,17 +622,16 @@ def local_smoothness(spark, sf):
     S.query(
         _eval_order(_EVAL)
         + [
-            "m as (select d, avg(abs(est - d)) as mae, avg(abs(est - d) / d) as mre, count(*)::double as cnt from ev where d > 0 and est is not null group by rollup (d))",
-            "l as (select coalesce(d::varchar, 'total') as len, unnest(['mae', 'mre', 'cnt']) as metric, unnest([mae, mre, cnt]) as value from m)",
+            """m as (select d, avg(abs(coalesce(est, 20) - d)) as mae, avg(abs(coalesce(est, 20) - d) / d) as mre, count(*)::double as cnt,
+(count(*) - count(est))::double as unanswered from ev where d > 0 group by rollup (d))""",
         ],
-        """select metric, round(max(value) filter (where len = '1'), 6) as len_1, round(max(value) filter (where len = '2'), 6) as len_2,
-round(max(value) filter (where len = '3'), 6) as len_3, round(max(value) filter (where len = 'total'), 6) as total from l group by metric""",
+        """select unnest(['mae', 'mre', 'cnt', 'unanswered']) as metric, coalesce(d::varchar, 'total') as len,
+round(unnest([mae, mre, cnt, unanswered]), 6) as value from m""",
     ),
 )
 def error_matrix(spark, sf):
-    by = V.error_by_length(_evaluated(spark, sf).filter("est is not null"), "est")
-    wide = V.error_matrix(by, [1, 2, 3])
-    return wide.select("metric", *[F.round(c, 6).alias(f"len_{c}") for c in ("1", "2", "3")], F.round("total", 6).alias("total"))
+    cells = V.error_matrix(V.error_by_length(_evaluated(spark, sf), "est"))
+    return cells.select("metric", "len", F.round("value", 6).alias("value"))
 
 
 # -------------------------------------------------------------- classification (N)

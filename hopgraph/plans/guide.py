@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from hopgraph.functions.hashing import h
 
-MAX_BUCKETS = 1 << 20
-
 
 def guide_table(df: DataFrame, group: str, item: str, weight: str, block: int = 4096) -> DataFrame:
     """``(group, item, bucket, lo, hi, nb)`` plus the other columns of ``df``.
@@ -43,7 +41,7 @@ def guide_table(df: DataFrame, group: str, item: str, weight: str, block: int =
         F.coalesce(F.sum("_tot").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_off"),
         F.sum("_tot").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"),
     )
-    nb = F.least(F.col("_cnt"), F.lit(MAX_BUCKETS)).cast("double")
+    nb = F.col("_cnt").cast("double")
     scaled = (
         rows.join(blocks, [group, "_blk"])
         .withColumn("nb", nb)

@@ -66,7 +66,7 @@ def test_labels_are_canonical_for_any_batching(spark, name, first, growth):
 
 def test_tree_order_gives_exact_labels(spark):
     g, ap = tiny.graph(spark, "B"), tiny.apsp("B")
-    order = sampled_tree_order(g, roots=4, per_round=2, rounds=3)
+    order = sampled_tree_order(g, roots=4, per_round=2)
     assert sorted(r.rk for r in order.collect()) == list(range(15))
     o = LabelOracle.build(g, order=order)
     assert all(r.est == ap[r.src][r.dst] for r in o.query(tiny.pairs(spark, _pairs(ap))).collect())
