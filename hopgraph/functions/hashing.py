@@ -34,6 +34,15 @@ def h2(x: Column | str, y: Column | str, seed: int = 0) -> Column:
     return h(h(x, seed) + _as_col(y).cast("bigint"), seed + 1)
 
 
+def wide(x: Column | str, seed: int = 0) -> Column:
+    """Two hashes as one number below 2^62, for draws from pools beyond 2^31 members."""
+    return h(x, seed) * P + h(x, seed + 101)
+
+
+def wide_sql(x: str, seed: int = 0) -> str:
+    return f"({h_sql(x, seed)} * {P} + {h_sql(x, seed + 101)})"
+
+
 def h_sql(x: str, seed: int = 0) -> str:
     """The same hash as SQL text."""
     y = f"(((({x})::bigint % {P}) * {A} + {seed * B}) % {P})"

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopgraph.functions.hashing import h, h2
+from hopgraph.functions.hashing import h, h2, wide
 from hopgraph.operators.graph import Graph
 from hopgraph.operators.shape import top_degree
 from hopgraph.operators.traverse import landmark_table, pair_distances
@@ -31,7 +31,7 @@ def draw_partners(sources: DataFrame, pool: DataFrame, size: int, k: int, seed:
     step = size // k
     slots = number_rows(pool.select("id"), h("id", seed), "id", name="slot")
     asked = sources.select("src", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-    asked = asked.select("src", ((h("src", seed + 1) + F.col("j") * step) % size).alias("slot"))
+    asked = asked.select("src", ((wide("src", seed + 1) + F.col("j") * step) % size).alias("slot"))
     return asked.join(slots, "slot").select("src", F.col("id").alias("dst"))
 
 
@@ -149,7 +149,7 @@ def packed_destinations(graph: Graph, dsts: int = 100, per_dst: int = 60, seed:
     """Top-degree destinations, each with random sources and true distances."""
     hubs = top_degree(graph.nodes, dsts).select("id")
     drawn = draw_partners(_as_src(hubs), graph.nodes, graph.n, per_dst, seed)
-    return pair_distances(graph, drawn.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return pair_distances(graph, drawn.select(F.col("dst").alias("src"), F.col("src").alias("dst")), side="dst")
 
 
 def batches(pairs: DataFrame, batch: int, key: Column, *ties: str) -> DataFrame:
@@ -183,7 +183,7 @@ def negative_samples(pairs: DataFrame, vocab: DataFrame, size: int, neg: int = 3
     )
     both = pairs.select("src", "dst", "d", ends.alias("e")).select("src", "dst", "d", "e.u", "e.v")
     picks = both.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(neg)))).withColumn(
-        "slot", h(h2("u", "v", seed) + F.col("j"), seed + 2) % size
+        "slot", wide(h2("u", "v", seed) + F.col("j"), seed + 2) % size
     )
     negatives = picks.join(slots, "slot").select(F.col("u").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("target"))
     positives = both.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("d").cast("double").alias("target"))

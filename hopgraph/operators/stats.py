@@ -13,7 +13,8 @@ from hopgraph.operators.graph import Graph
 from hopgraph.operators.traverse import Sweep, is_connected, landmark_table, sweep_from
 from hopgraph.plans.scratch import Scratch
 
-ROW_BUDGET = 200_000_000
+#: Searches that run at the same time unless the caller says otherwise.
+AT_ONCE = 4096
 
 
 def degree_stats(nodes: DataFrame) -> DataFrame:
@@ -28,16 +29,15 @@ def degree_stats(nodes: DataFrame) -> DataFrame:
 
 
 def eccentricity_bounds(
-    graph: Graph, batch: int = 16, growth: int = 4, budget: int = ROW_BUDGET
+    graph: Graph, batch: int = 16, growth: int = 4, at_once: int = AT_ONCE
 ) -> tuple[DataFrame, int, int]:
     """Bounds ``(id, lo, up)`` tight enough to fix diameter and radius, and both values.
 
     A search from s bounds every node v: max(d, ecc(s) - d) <= ecc(v) <= ecc(s) + d.
     Each round searches from the nodes with the largest upper and the smallest
     lower bound and then drops all nodes that can change neither extreme.
-    The batch grows by ``growth`` per round up to ``budget`` rows, so graphs on
-    which the bounds stay loose need a logarithmic number of rounds instead of
-    n / batch.  The graph must be connected.
+    The batch grows by ``growth`` per round up to ``at_once`` searches, so graphs
+    on which the bounds stay loose need few rounds.  The graph must be connected.
     """
     scratch = Scratch(graph.spark, "ecc")
     bounds = scratch.cut(
@@ -61,7 +61,7 @@ def eccentricity_bounds(
         useful = loose.filter((F.col("up") > ext.diam) | (F.col("lo") < ext.rad))
         if useful.isEmpty():
             return bounds.select("id", "lo", "up"), ext.diam, ext.rad
-        batch = max(2, min(batch * growth, budget // graph.n))
+        batch = min(batch * growth, max(batch, at_once))
         half = batch // 2
         # far nodes settle the diameter; central nodes give the tightest upper bounds
         far = useful.orderBy(F.desc("up"), F.desc("deg"), "id").limit(half).select("id")
@@ -78,26 +78,28 @@ def diameter_radius(graph: Graph, batch: int = 16) -> DataFrame:
     return graph.spark.createDataFrame([(diam, rad)], "diameter int, radius int")
 
 
-def _source_batches(graph: Graph, sources: DataFrame | None, budget: int):
-    """Split the sources by hash so that one batch holds about ``budget`` rows."""
+def _source_batches(graph: Graph, sources: DataFrame | None, at_once: int):
+    """Split the sources by hash into batches of about ``at_once`` searches."""
     pool = graph.nodes.select("id") if sources is None else sources.select("id").distinct()
     count = graph.n if sources is None else pool.count()
-    parts = max(1, math.ceil(count * graph.n / budget))
+    parts = max(1, math.ceil(count / at_once))
     for i in range(parts):
         yield pool if parts == 1 else pool.filter(h("id", 11) % parts == i)
 
 
-def sp_share(graph: Graph, budget: int = ROW_BUDGET) -> DataFrame:
+def sp_share(graph: Graph, sources: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """Share of all shortest paths (unordered pairs) that contain a node, ends included.
 
+    With ``sources`` only the paths that start in these nodes are counted.
+
     Counts paths forward by the sweep and continuations backward by level, so
     the pair-by-pair-by-node join is never formed: a node lies on
     ``paths(s, v) * ahead(s, v)`` shortest paths that start in s.
     """
     scratch = Scratch(graph.spark, "spshare")
     parts = []
-    for sources in _source_batches(graph, None, budget):
-        sweep = sweep_from(graph, sources, carry=("paths",)).run()
+    for batch in _source_batches(graph, sources, at_once):
+        sweep = sweep_from(graph, batch, carry=("paths",)).run()
         ahead = None
         for k in range(sweep.depth, -1, -1):
             if not sweep.sizes[k]:
@@ -121,7 +123,7 @@ def sp_share(graph: Graph, budget: int = ROW_BUDGET) -> DataFrame:
     return rows.select("id", (F.col("through") / total).alias("share"))
 
 
-def tree_betweenness(graph: Graph, sources: DataFrame | None = None, budget: int = ROW_BUDGET) -> DataFrame:
+def tree_betweenness(graph: Graph, sources: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """C4: interior visits of tree paths from every source (or the given ones).
 
     A node other than the root is interior to the root paths of all its proper
@@ -130,7 +132,7 @@ def tree_betweenness(graph: Graph, sources: DataFrame | None = None, budget: int
     """
     scratch = Scratch(graph.spark, "treebc")
     parts = [graph.nodes.select("id", F.lit(0).cast("bigint").alias("score"))]
-    for batch in _source_batches(graph, sources, budget):
+    for batch in _source_batches(graph, sources, at_once):
         sweep = sweep_from(graph, batch, carry=("parent",)).run()
         for _, size in subtree_sizes(sweep, scratch):
             parts.append(

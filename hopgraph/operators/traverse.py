@@ -24,8 +24,6 @@ from hopgraph.plans.scratch import Scratch
 
 Hook = Callable[[DataFrame, int], DataFrame]
 
-ONE_SIDED_RATIO = 8  # distinct nodes of one side over the other that make one-sided search cheaper
-
 # attribute -> (value of a seed row, value offered to a neighbour, aggregate)
 _CARRY = {
     "parent": (lambda: F.lit(None).cast("bigint"), lambda: F.col("id"), F.min),
@@ -164,16 +162,17 @@ def with_unreachable(dist: DataFrame, sources: DataFrame, nodes: DataFrame, key:
     )
 
 
-def pair_distances(graph: Graph, pairs: DataFrame, max_hops: int | None = None, screen: bool = True) -> DataFrame:
+def pair_distances(graph: Graph, pairs: DataFrame, max_hops: int | None = None, screen: bool = True, side: str | None = None
+) -> DataFrame:
     """Exact distance of every distinct ``(src, dst)``, -1 if unreachable.
 
     All end points search at the same time and a pair is settled when its two
     balls touch, so a search never goes deeper than half the distance.  After
     round k the meeting level gives 2k-1 or 2k.  Searches without open pairs
     stop.  ``screen`` compares component labels first, which saves the
-    exhaustive search of pairs that cannot meet.  When one side has far fewer
-    distinct nodes than the other, full searches from that side alone are
-    cheaper and are used instead.
+    exhaustive search of pairs that cannot meet.  ``side`` ("src" or "dst") asks
+    for full searches from that side alone, which is cheaper where it has few
+    different nodes.
     """
     scratch = Scratch(graph.spark, "pairs")
     wanted = scratch.cut(pairs.select("src", "dst").distinct(), "wanted")
@@ -195,17 +194,12 @@ def pair_distances(graph: Graph, pairs: DataFrame, max_hops: int | None = None,
             .select("src", "dst")
         )
     open_pairs, left = scratch.save(differ, "open0")
-    if left and max_hops is None:
-        few = open_pairs.agg(
-            F.approx_count_distinct("src").alias("s"), F.approx_count_distinct("dst").alias("t")
-        ).first()
-        if ONE_SIDED_RATIO * min(few.s, few.t) <= max(few.s, few.t):
-            flip = few.t < few.s
-            a, b = ("dst", "src") if flip else ("src", "dst")
-            asked = open_pairs.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-            hit = search_targets(graph, asked).table().select(F.col("src").alias(a), F.col("id").alias(b), "d")
-            met = open_pairs.join(hit, ["src", "dst"]).select("src", "dst", "d").union(scratch.read("hit0", schema))
-            return wanted.join(met, ["src", "dst"], "left").select("src", "dst", F.coalesce("d", F.lit(-1)).alias("d"))
+    if left and side is not None:
+        a, b = ("dst", "src") if side == "dst" else ("src", "dst")
+        asked = open_pairs.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+        hit = search_targets(graph, asked, max_hops=max_hops).table().select(F.col("src").alias(a), F.col("id").alias(b), "d")
+        met = open_pairs.join(hit, ["src", "dst"]).select("src", "dst", "d").union(scratch.read("hit0", schema))
+        return wanted.join(met, ["src", "dst"], "left").select("src", "dst", F.coalesce("d", F.lit(-1)).alias("d"))
     ends = open_pairs.select(F.explode(F.array("src", "dst")).alias("id"))
     sweep = Sweep(graph, seeds_of(ends, "root"), ("root",))
     while left and sweep.sizes[-1] and (max_hops is None or 2 * sweep.depth < max_hops):

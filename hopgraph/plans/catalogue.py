@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopgraph.functions.hashing import h, h_sql
+from hopgraph.functions.hashing import h, h_sql, wide_sql
 from hopgraph.operators import evaluate as V
 from hopgraph.operators import sample as P
 from hopgraph.operators import shape as G
@@ -727,7 +727,7 @@ def first_samples(spark, sf):
             "pos as (select k as u, id as v, d from bfs where d >= 1 union all select id, k, d from bfs where d >= 1)",
             "voc as (select id, row_number() over (order by id) - 1 as slot from nodes)",
             f"""neg as (select p.u as src, x.id as dst, 0.0::double as target from pos p cross join range(1, 4) j(j)
-  join voc x on x.slot = {h_sql(h_sql(h_sql('p.u', 14) + ' + p.v', 15) + ' + j.j', 16)} % (select count(*) from nodes))""",
+  join voc x on x.slot = {wide_sql(h_sql(h_sql('p.u', 14) + ' + p.v', 15) + ' + j.j', 16)} % (select count(*) from nodes))""",
         ],
         "select u as src, v as dst, d::double as target from pos union all select src, dst, target from neg",
     ),

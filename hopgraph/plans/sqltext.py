@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopgraph.functions.hashing import h_sql
+from hopgraph.functions.hashing import h_sql, wide_sql
 
 _FROM_RAW = [
     "e as (select distinct least(src, dst) as a, greatest(src, dst) as b from raw where src <> dst)",
@@ -69,7 +69,7 @@ def drawn(sources: str, pool: str, k: int, seed: int, name: str = "drawn") -> li
         slots(pool, seed, s),
         f"""{name} as (
   select q.id as src, p.id as dst from {sources} q cross join range({k}) j(j)
-  join {s} p on p.slot = ({h_sql('q.id', seed + 1)} + j.j * {step}) % {size}
+  join {s} p on p.slot = ({wide_sql('q.id', seed + 1)} + j.j * {step}) % {size}
   where j.j < {size})""",
     ]
 

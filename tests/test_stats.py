@@ -25,12 +25,12 @@ def _all_paths(adj, dist, u, v):
     return [p + [v] for w in adj[v] if dist[u].get(w, -1) == dist[u][v] - 1 for p in _all_paths(adj, dist, u, w)]
 
 
-@pytest.mark.parametrize("budget", [10**6, 40])
-def test_sp_share(spark, budget):
+@pytest.mark.parametrize("at_once", [10**6, 4])
+def test_sp_share(spark, at_once):
     adj, ap = tiny.adjacency("B"), tiny.apsp("B")
     paths = [p for u in ap for v in ap if u < v for p in _all_paths(adj, ap, u, v)]
     want = {v: sum(v in p for p in paths) / len(paths) for v in ap}
-    got = {r.id: r.share for r in S.sp_share(tiny.graph(spark, "B"), budget).collect()}
+    got = {r.id: r.share for r in S.sp_share(tiny.graph(spark, "B"), at_once=at_once).collect()}
     assert got == pytest.approx(want)
 
 
@@ -44,7 +44,7 @@ def test_tree_betweenness(spark):
             while v is not None and v != s:
                 want[v] += 1
                 v = parent[v]
-    got = {r.id: r.score for r in S.tree_betweenness(tiny.graph(spark, "G"), budget=20).collect()}
+    got = {r.id: r.score for r in S.tree_betweenness(tiny.graph(spark, "G"), at_once=3).collect()}
     assert got == want
 
 
