@@ -104,6 +104,12 @@ def route_beam_adjacent_facts(spark, sf):
     return _route_facts(g, R.beam_routes(g, q, predict, cap=2, adjacent=True, top_k=3), q)
 
 
+@register("route_greedy_facts", _ROUTE_SQL.replace("least(2,", "least(1,").replace("range(2)", "range(1)"))
+def route_greedy_facts(spark, sf):
+    g, q = _queries(spark, sf, 1)
+    return _route_facts(g, R.greedy_routes(g, q, R.oracle_predictor(LandmarkOracle.build(g, 8))), q)
+
+
 # ---------------------------------------------------------------- coarsening (H)
 @register(
     "coarsen_facts",

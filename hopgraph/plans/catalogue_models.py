@@ -463,7 +463,7 @@ def route_beam_adjacent(spark, sf):
 @register("route_greedy")
 def route_greedy(spark, sf):
     g, q = _queries(spark, sf, 1)
-    return _route_rows(R.greedy_routes(g, q, R.oracle_predictor(LandmarkOracle.build(g, 8)), max_rounds=12), q)
+    return _route_rows(R.greedy_routes(g, q, R.oracle_predictor(LandmarkOracle.build(g, 8))), q)
 
 
 @register("route_error")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _FALLBACK: dict[str, str] = {}
+#: Folders in use, by application.
+_ROOTS: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/hopgraph/{label}-{uuid.uuid4().hex[:12]}"
         self._serial = 0
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -74,7 +77,21 @@ class Scratch:
 
     def drop(self) -> None:
         """Delete this run's tables; call when its results are stored elsewhere."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(self.root)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(self.spark, self.root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this application; returns the number of folders.
+
+    To be called between jobs, when the results that were wanted are stored: data frames
+    and prepared graphs made before cannot be read afterwards.
+    """
+    roots = _ROOTS.pop(spark.sparkContext.applicationId, [])
+    for root in roots:
+        _delete(spark, root)
+    return len(roots)
