@@ -12,6 +12,7 @@ a walk does not depend on partitioning.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -274,15 +275,32 @@ def decayed_walks(walker: Walker, roots: DataFrame, per_root: int, length: int,
 def distance_bounds(graph: Graph, walked: DataFrame, neighbours: bool = True) -> DataFrame:
     """``(root, id, bound)`` - upper bounds on the distance learned along the walks.
 
-    The position in a walk bounds the distance; with ``neighbours`` the nodes
-    next to a walk are bounded too, by one relaxation over the arcs.
+    The position in a walk bounds the distance, and a step bounds its end by one
+    more than its start; bounds are carried along and across all walks of a root
+    until none improves.  With ``neighbours`` the nodes next to a walk are bounded
+    too, by one relaxation over the arcs.
     """
+    scratch = Scratch(graph.spark, "bounds")
     seen = walked.select("root", F.posexplode("path").alias("bound", "id")).groupBy("root", "id").agg(
         F.min("bound").alias("bound")
     )
+    pairs = F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("a"), F.expr("slice(path, 2, size(path) - 1)").alias("b"))
+    steps = walked.filter(F.size("path") > 1).select("root", F.inline(pairs)).filter("a <> b")
+    steps = scratch.cut(steps.union(steps.select("root", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "steps")
+    seen = scratch.cut(seen, "seen0")
+    for r in count(1):
+        offer = steps.join(seen.withColumnRenamed("id", "a"), ["root", "a"]).groupBy("root", F.col("b").alias("id")).agg(
+            (F.min("bound") + 1).alias("offer")
+        )
+        new = seen.join(offer, ["root", "id"], "left").select(
+            "root", "id", F.least("bound", "offer").alias("bound"), (F.coalesce("offer", "bound") < F.col("bound")).alias("moved")
+        )
+        _, got = scratch.write(new, f"seen{r}", moved=F.sum(F.col("moved").cast("long")))
+        seen = scratch.read(f"seen{r}", new.schema).drop("moved")
+        if not got["moved"]:
+            break
     if not neighbours:
         return seen
-    seen = Scratch(graph.spark, "bounds").cut(seen)
     next_to = graph.expand(graph.with_blocks(seen)).select(
         "root", F.col("dst").alias("id"), (F.col("bound") + 1).alias("bound")
     )

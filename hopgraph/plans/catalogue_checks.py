@@ -69,6 +69,29 @@ for _kind, _rule in {**K.KINDS, "restart": K.Rule(restart=0.15)}.items():
     register(f"walk_{_kind}_facts", _WALK_SQL)(_walk_facts(_rule))
 
 
+@register(
+    "walk_bounds_facts",
+    S.query(S.graph("link"), "select count(*) as roots, 0::bigint as below, 0::bigint as loose, 0::bigint as home from nodes"),
+)
+def walk_bounds_facts(spark, sf):
+    """Bounds never fall below the distance, no step could improve one, and roots are at 0."""
+    g = graphs.graph(spark, sf, "link")
+    scratch = Scratch(spark, "facts")
+    walked = scratch.cut(K.walks(g, g.nodes, "gen", 2, 6).select("root", "path"))
+    seen = scratch.cut(K.distance_bounds(g, walked, neighbours=False))
+    true = T.pair_distances(g, seen.select(F.col("root").alias("src"), F.col("id").alias("dst")))
+    both = seen.join(true.select(F.col("src").alias("root"), F.col("dst").alias("id"), "d"), ["root", "id"])
+    steps = walked.select(
+        "root", F.inline(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("a"), F.expr("slice(path, 2, size(path) - 1)").alias("b")))
+    )
+    ends = steps.join(seen.select("root", F.col("id").alias("a"), F.col("bound").alias("x")), ["root", "a"]).join(
+        seen.select("root", F.col("id").alias("b"), F.col("bound").alias("y")), ["root", "b"]
+    )
+    return both.agg(
+        F.count_distinct("root").alias("roots"), _none("bound < d").alias("below"), _none("root = id and bound <> 0").alias("home")
+    ).join(ends.agg(_none("abs(x - y) > 1").alias("loose")))
+
+
 # -------------------------------------------------------------------- routes (R)
 def _route_facts(g, routes, q):
     """Routes that are answered, whose ends are wrong, that leave the arcs or beat the distance."""
