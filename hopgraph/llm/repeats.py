@@ -11,8 +11,10 @@ Every string of ``length`` bytes is looked at, in every document, by where it st
    that start in them are put into suffix order.  There, the previous and the next entry with
    a smaller position give each string's longest previous factor (LPF); a string is repeated
    later if its LPF reaches ``length``, and it is the first of several if a later one's does.
-4. Anchors of more than ``CROWD`` strings' segments (a short line that all documents share)
-   are cut further, into single strings that meet by a hash of all their bytes.
+4. Segments of an anchor that comes more than ``CROWD`` times (in a line or passage that very
+   many documents share) are cut into slices of ``SLICE`` strings that meet by all the bytes
+   these share.  Slices that still differ in more than ``CROWD`` ways (the borders of such a
+   passage) are cut into single strings, which meet by a hash of all their bytes.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from hopgraph.llm.common import arrow_schema, map_rows, ship, table, utf8
+from hopgraph.llm.common import arrow_schema, map_rows, ship, slices, table, utf8
 
 LENGTH = 200
-#: Segments of one anchor that one suffix order takes; beyond it, strings meet one by one.
+#: Segments of one anchor that one suffix order takes, and strings in a slice beyond it.
 CROWD = 4096
+SLICE = 10
 #: Bytes of different segments that one suffix order holds.
 BLOCK_BYTES = 1 << 19
 #: Positions of a text that are hashed in one go.
@@ -62,10 +65,10 @@ def gram_hashes(octets: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, hash) of the runs of strings that share an anchor."""
+def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(first start, last start, hash, place) of the anchors, by the runs of strings that share them."""
     octets, width = np.frombuffer(text, np.uint8), length - gram + 1
-    first, last, hashes = [], [], []
+    first, last, hashes, places = [], [], [], []
     for at in range(0, len(text) - length + 1, CHUNK):
         part = octets[at : at + CHUNK + length - 1]
         n = len(part) - length + 1
@@ -82,9 +85,10 @@ def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
         first.append(at + np.concatenate(([0], change + 1)))
         last.append(at + np.append(change, n - 1))
         hashes.append(h[place[first[-1] - at]])
+        places.append(at + place[first[-1] - at])
     if not first:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(first), np.concatenate(last), np.concatenate(hashes)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(first), np.concatenate(last), np.concatenate(hashes), np.concatenate(places)
 
 
 def _anchor_rows(cols: dict, length: int, gram: int) -> dict:
@@ -95,27 +99,60 @@ def _anchor_rows(cols: dict, length: int, gram: int) -> dict:
         "did": np.repeat(did, sizes),
         "th": np.repeat(th, sizes),
         "s0": np.concatenate([f[0] for f in found]).astype(np.int32),
-        "s1": np.concatenate([f[1] for f in found]).astype(np.int32),
+        "w": np.concatenate([(f[1] - f[0] << 16) | (f[3] - f[0]) for f in found]).astype(np.int32),
         "h": np.concatenate([f[2] for f in found]).view(np.int64),
     }
 
 
-def _cut_rows(cols: dict, length: int) -> dict:
+def _cut_rows(cols: dict, length: int, part: int) -> dict:
     out: dict[str, list] = {k: [] for k in ("k1", "k2", "did", "th", "s0", "seg")}
     for did, th, text, runs in zip(*(cols[k].to_pylist() for k in ("did", "th", "t", "runs"))):
         for run in runs:
-            s0, s1 = run["s0"], run["s1"]
-            if run["crowd"]:
-                for s in range(s0, s1 + 1):
-                    k1, k2 = np.frombuffer(xxh3_128_digest(text[s : s + length]), np.int64).tolist()
-                    for k, v in zip(out, (k1, k2, did, th, s, None)):
-                        out[k].append(v)
-            else:
+            s0, s1, place = run["s0"], run["s0"] + (run["w"] >> 16), run["s0"] + (run["w"] & 0xFFFF)
+            if not run["crowd"]:
                 for k, v in zip(out, (run["h"], 0, did, th, s0, text[s0 : s1 + length])):
                     out[k].append(v)
+                continue
+            for j in range((place - s1) // part, (place - s0) // part + 1):  # strings j * part and more before the place
+                high, low = place - j * part, place - (j + 1) * part + 1
+                a, b = max(s0, low), min(s1, high)
+                shared = xxh3_64_intdigest(text[high : low + length])
+                for k, v in zip(out, (shared - (1 << 63), j + 1, did, th, a, text[a : b + length])):
+                    out[k].append(v)
+    return out
+
+
+def _single_rows(cols: dict, length: int) -> dict:
+    out: dict[str, list] = {k: [] for k in ("k1", "k2", "did", "th", "s0")}
+    for did, th, s0, seg in zip(*(cols[k].to_pylist() for k in ("did", "th", "a", "seg"))):
+        for i in range(len(seg) - length + 1 if seg else 0):
+            k1, k2 = np.frombuffer(xxh3_128_digest(seg[i : i + length]), np.int64).tolist()
+            for k, v in zip(out, (k1, k2, did, th, s0 + i)):
+                out[k].append(v)
     return out
 
 
+def _match_singles(schema: pa.Schema):
+    """Repeated starts from rows sorted by (k1, k2, did, th, s0); equal keys are equal strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, told = None, None, False
+        for batch in batches:
+            out: list[tuple] = []
+            for k1, k2, *place in zip(*(batch.column(k).to_pylist() for k in ("k1", "k2", "did", "th", "s0"))):
+                if (k1, k2) != key:
+                    key, first, told = (k1, k2), place, False
+                    continue
+                if not told:
+                    out.append((*first, first[2], False, None))
+                    told = True
+                out.append((*place, place[2], place != first, None))
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*out))), schema=schema)
+
+    return run
+
+
 def longest_previous(pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """LPF of each suffix: ``pos`` is the suffix order's positions, lcp[i] what entries i - 1
     and i share.  The previous and the next entry with a smaller position share most."""
@@ -149,8 +186,11 @@ def suffix_order(text: str, starts: list[int], length: int) -> tuple[np.ndarray,
     return np.array(order, np.int64), lcp
 
 
-def _match(length: int, schema: pa.Schema):
-    """Ranges of repeated starts from rows sorted by (k1, k2, seg, did, th, s0)."""
+def _match(length: int, crowd: int, block_bytes: int, schema: pa.Schema):
+    """Ranges of repeated starts from segments sorted by (k1, k2, seg, did, th, s0).
+
+    A row with seg is a slice that is still open: its key has more than ``crowd`` different ones.
+    """
 
     def ranges(state: np.ndarray) -> Iterator[tuple[int, int, bool]]:
         cut = np.flatnonzero(state[1:] != state[:-1]) + 1
@@ -159,12 +199,8 @@ def _match(length: int, schema: pa.Schema):
                 yield a, b - 1, bool(state[a] == 2)
 
     def solve(block: list[list[list]], out: list[tuple]) -> None:
-        """block: by anchor, the different segments [seg, did, th, s0, repeated]."""
+        """block: by key, the different segments [seg, did, th, s0]."""
         parts = [x for group in block if len(group) > 1 for x in group]
-        for group in block:
-            for seg, did, th, s0, repeated in group if len(group) == 1 else ():
-                if repeated:
-                    out.append((did, th, s0, s0 + len(seg) - length, False))
         if not parts:
             return
         sizes = np.array([len(x[0]) for x in parts])
@@ -182,46 +218,50 @@ def _match(length: int, schema: pa.Schema):
         state = np.zeros(len(order), np.int8)
         state[by_place[order]] = np.where(earlier, 2, np.where(later, 1, 0))
         for x, a, n in zip(parts, head.tolist(), strings.tolist()):
-            own = state[a : a + n]
-            if x[4]:
-                own = np.maximum(own, 1)
-            out.extend((x[1], x[2], x[3] + i, x[3] + j, e) for i, j, e in ranges(own))
+            out.extend((x[1], x[2], x[3] + i, x[3] + j, e, None) for i, j, e in ranges(state[a : a + n]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[list[list]] = []
-        size, key, last, single = 0, None, None, None
+        size, key, last, told, many = 0, None, None, False, False
         out: list[tuple] = []
 
+        def whole(seg, did, th, s0, earlier) -> tuple:
+            return did, th, s0, s0 + len(seg) - length, earlier, None
+
+        def left_open(seg, did, th, s0) -> tuple:
+            return did, th, s0, s0 + len(seg) - length, None, seg
+
         def emit() -> pa.RecordBatch:
             got = pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*out))), schema=schema)
             out.clear()
             return got
 
-        for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in ("k1", "k2", "did", "th", "s0", "seg")))
-            for k1, k2, did, th, s0, seg in rows:
-                if seg is None:
-                    if single and single[0] == (k1, k2):
-                        if not single[2]:
-                            out.append((*single[1], single[1][2], False))
-                            single[2] = True
-                        out.append((did, th, s0, s0, (did, th, s0) != single[1]))
-                    else:
-                        single = [(k1, k2), (did, th, s0), False]
-                    continue
-                if k1 != key:
-                    if size > BLOCK_BYTES:
+        for batch in slices(batches):
+            rows = zip(*(batch.column(k).to_pylist() for k in ("k1", "k2", "seg", "did", "th", "s0")))
+            for k1, k2, *row in rows:
+                if (k1, k2) != key:
+                    if size > block_bytes:
                         solve(block, out)
                         block, size = [], 0
                     block.append([])
-                    key, last = k1, None
-                if last and last[0] == seg:
-                    last[4] = True
-                    out.append((did, th, s0, s0 + len(seg) - length, (did, th, s0) != (last[1], last[2], last[3])))
-                else:
-                    last = [seg, did, th, s0, False]
-                    block[-1].append(last)
-                    size += len(seg)
+                    key, last, many = (k1, k2), None, False
+                if last and last[0] == row[0]:
+                    if not told:
+                        out.append(whole(*last, False))
+                        told = True
+                    out.append(whole(*row, row[1:] != last[1:]))
+                    continue
+                last, told = row, False
+                if many:
+                    out.append(left_open(*row))
+                    continue
+                block[-1].append(row)
+                size += len(row[0])
+                if k2 and len(block[-1]) > crowd:
+                    many = True
+                    gone = block.pop()
+                    size -= sum(len(x[0]) for x in gone)
+                    out.extend(left_open(*x) for x in gone)
             if len(out) > 10000:
                 yield emit()
         solve(block, out)
@@ -245,29 +285,40 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     elsewhere; earlier: also at a smaller (doc_id, hash of the text, start), null ids first.
 
     Rows that agree in doc_id and text are one place: each repeats the other, none is earlier.
+    Rows whose earlier is null tell nothing.
     """
+    if length > 32000:
+        raise ValueError("strings of at most 32000 bytes")
     spark = docs.sparkSession
     gram = gram or max(1, length * 64 // 200)
+    ship(spark)
     rows = _keyed(docs)
-    schema = "did long, th int, s0 int, s1 int, h long"
+    schema = "did long, th int, s0 int, w int, h long"
     found = map_rows(rows.filter(F.octet_length("t") >= length), _anchor_rows, schema, length, gram)
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = found.join(twice.withColumnRenamed("h", "h2"), F.col("h") == F.col("h2"))
-    run = F.struct("s0", "s1", "h", (F.col("n") > CROWD).alias("crowd"))
+    run = F.struct("s0", "w", "h", (F.col("n") > CROWD).alias("crowd"))
     runs = shared.groupBy("did", "th").agg(F.collect_list(run).alias("runs"))
     texts = rows.join(runs, ["did", "th"])
     schema = "k1 long, k2 long, did long, th int, s0 int, seg binary"
-    cut = map_rows(texts, _cut_rows, schema, length)
+    cut = map_rows(texts, _cut_rows, schema, length, min(SLICE, length))
     met = cut.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "seg", "did", "th", "s0")
-    schema = "did long, th int, a int, b int, earlier boolean"
-    ship(spark)
-    return met.mapInArrow(_match(length, arrow_schema(spark, schema)), schema)
+    schema = "did long not null, th int not null, a int, b int, earlier boolean, seg binary"
+    out = arrow_schema(spark, schema)
+    # dealt by document once, with all columns and rows, for both that read it: what is found
+    # and the slices still open (their earlier is null)
+    told = met.mapInArrow(_match(length, CROWD, BLOCK_BYTES, out), schema).repartition("did", "th")
+    singles = map_rows(told, _single_rows, "k1 long, k2 long, did long, th int, s0 int", length)
+    alike = singles.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "did", "th", "s0")
+    more = alike.mapInArrow(_match_singles(out), schema)
+    return told.union(more).select("did", "th", "a", "b", F.when(F.col("seg").isNull(), F.col("earlier")).alias("earlier"))
 
 
 def spans(ranges: list[dict] | None, length: int, later_only: bool) -> list[tuple[int, int]]:
     """Merged byte spans that the strings starting in ``ranges`` cover."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((r["a"], r["b"] + length) for r in ranges or () if r["earlier"] or not later_only):
+    sure = (r for r in (() if ranges is None else ranges) if r["earlier"] is not None)
+    for a, b in sorted((int(r["a"]), int(r["b"]) + length) for r in sure if r["earlier"] or not later_only):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -350,7 +401,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(t)
                 continue
             raw = t.encode()
-            out.append(cut_out(raw, whole_characters(raw, spans(list(r), length, True))).decode())
+            out.append(cut_out(raw, whole_characters(raw, spans(r, length, True))).decode())
         return pd.Series(out, dtype=object)
 
     ship(docs.sparkSession)

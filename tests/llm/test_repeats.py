@@ -46,7 +46,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("length,gram,crowd,block", [(20, None, 4096, 1 << 19), (20, 3, 5, 400), (30, 10, 0, 1), (64, None, 8, 2000)])
+@pytest.mark.parametrize("length,gram,crowd,block", [(20, None, 4096, 1 << 19), (20, 3, 5, 400), (30, 10, 0, 1), (64, None, 8, 2000), (40, None, 2, 1)])
 def test_against_brute_force(spark, monkeypatch, length, gram, crowd, block):
     monkeypatch.setattr(rep, "CROWD", crowd)
     monkeypatch.setattr(rep, "BLOCK_BYTES", block)
@@ -59,9 +59,9 @@ def test_chunks_of_long_texts(monkeypatch):
     text = np.random.default_rng(1).integers(0, 4, 5000).astype(np.uint8).tobytes()
     want = [x.tolist() for x in rep.anchors(text, 50, 16)]
     monkeypatch.setattr(rep, "CHUNK", 700)
-    first, last, hashes = rep.anchors(text, 50, 16)
-    spread = lambda f, t, h: [x for a, b, k in zip(f, t, h) for x in [k] * (b - a + 1)]
-    assert spread(first, last, hashes) == spread(*want)
+    first, last, hashes, places = rep.anchors(text, 50, 16)
+    spread = lambda f, t, h, p: [x for a, b, *k in zip(f, t, h, p) for x in [k] * (b - a + 1)]
+    assert spread(first, last, hashes, places) == spread(*want)
     assert first[0] == 0 and last[-1] == len(text) - 50 and (first[1:] == last[:-1] + 1).all()
 
 
