@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -73,33 +74,55 @@ def scan(text: bytes | None, auto, some: bool) -> tuple[int, np.ndarray, set[int
     return len(found), hit, ids
 
 
-def spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Byte offsets in the original of the runs of hit words."""
+def spans(text: bytes, hit: np.ndarray) -> list[dict]:
+    """Runs of hit words: byte offsets in the original and first and last word."""
     if not hit.any():
         return []
-    octets = np.frombuffer(text.translate(NORMAL), np.uint8)
-    inside = octets != 32
+    inside = np.frombuffer(text.translate(NORMAL), np.uint8) != 32
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     run = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
-    return [(int(begin[i]), int(end[j - 1])) for i, j in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1))]
+    return [
+        {"start": int(begin[i]), "stop": int(end[j - 1]), "first": int(i), "last": int(j - 1)}
+        for i, j in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1))
+    ]
+
+
+def merged(runs: list[dict]) -> list[dict]:
+    """Overlapping and adjoining runs of words as one."""
+    out: list[dict] = []
+    for r in sorted(runs, key=lambda r: r["first"]):
+        if out and r["first"] <= out[-1]["last"] + 1:
+            if r["last"] > out[-1]["last"]:
+                out[-1] |= {"stop": r["stop"], "last": r["last"]}
+        else:
+            out.append(dict(r))
+    return out
+
+
+def _hits(runs: list[dict]) -> int:
+    return sum(r["last"] - r["first"] + 1 for r in runs)
 
 
-def _scan_batch(cols: dict, packs, width: int) -> dict:
+def _scan_batch(cols: dict, pack, width: int) -> dict:
     out: dict[str, list] = {"doc_id": cols["doc_id"], "th": cols["th"], "n_words": [], "n_hit": [], "items": [], "spans": []}
-    texts = cols["t"].to_pylist()
-    state = [[0, np.zeros(0, bool), set()] for _ in texts]
-    for pack in packs.value:
-        auto, some = _automaton(pack, width)
-        for s, text in zip(state, texts):
-            n, hit, ids = scan(text, auto, some)
-            s[0], s[2] = n, s[2] | ids
-            s[1] = hit if not len(s[1]) else s[1] | hit if len(hit) else s[1]
-    for (n, hit, ids), text in zip(state, texts):
-        out["n_words"].append(n if packs.value else len(words(text)))
+    auto, some = _automaton(pack.value, width)
+    for text in cols["t"].to_pylist():
+        n, hit, ids = scan(text, auto, some)
+        out["n_words"].append(n)
         out["n_hit"].append(int(hit.sum()))
         out["items"].append(sorted(ids))
-        out["spans"].append([{"start": a, "stop": b} for a, b in spans(text, hit)] if len(hit) else [])
+        out["spans"].append(spans(text, hit) if len(hit) else [])
+    return out
+
+
+def _merge_batch(cols: dict) -> dict:
+    out: dict[str, list] = {k: [] for k in ("doc_id", "th", "n_words", "n_hit", "items", "spans")}
+    for doc_id, th, n, copies, items, runs in zip(*(cols[k].to_pylist() for k in ("doc_id", "th", "n_words", "copies", "items", "spans"))):
+        whole = merged([r for some in runs for r in some])
+        for _ in range(copies):
+            for k, v in zip(out, (doc_id, th, n, _hits(whole), sorted({i for some in items for i in some}), whole)):
+                out[k].append(v)
     return out
 
 
@@ -108,27 +131,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
     A window is ``width`` consecutive words of an item (a shorter item is one window); a word
     inside an occurrence of a window is hit.  items lists the items with windows that occur,
-    spans the byte offsets in the text of the runs of hit words.  Null or empty texts have no
-    words.  Items without words or without an id have no windows; windows that several items
-    share count for each.  The items' text is read in blocks of ``AUTOMATON_BYTES``: each
-    block is one automaton of bounded size, and all but a very large benchmark is one block.
+    spans the runs of hit words by byte offsets in the text and by word number.  Null or empty
+    texts have no words.  Items without words or without an id have no windows; windows that
+    several items share count for each.  An automaton, and what is broadcast, holds at most
+    ``AUTOMATON_BYTES`` of items' text (or one item): all but a very large benchmark.  A larger
+    one takes as many scans, whose runs are then merged.
     """
     spark = docs.sparkSession
     rows = benchmark.filter("item_id is not null and text is not null").select(
         F.col("item_id").cast("long"), utf8().alias("t")
     ).distinct()
-    packs: list[list] = []
-    size = AUTOMATON_BYTES
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), utf8().alias("t"))
+    run = "struct<start: long, stop: long, first: long, last: long>"
+    schema = f"doc_id long, th long, n_words long, n_hit long, items array<long>, spans array<{run}>"
+    found, pack, size = [], [], 0
+
+    def add() -> None:
+        found.append(map_rows(texts, _scan_batch, schema, spark.sparkContext.broadcast(pack), width))
+
     for item_id, text in rows.orderBy("item_id", "t").toLocalIterator():
-        if size + len(text) > AUTOMATON_BYTES:
-            packs.append([])
-            size = 0
-        packs[-1].append((item_id, bytes(text)))
+        if pack and size + len(text) > AUTOMATON_BYTES:
+            add()
+            pack, size = [], 0
+        pack.append((item_id, bytes(text)))
         size += len(text)
-    held = spark.sparkContext.broadcast(packs)
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), utf8().alias("t"))
-    schema = "doc_id long, th long, n_words long, n_hit long, items array<long>, spans array<struct<start: long, stop: long>>"
-    return map_rows(texts, _scan_batch, schema, held, width)
+    add()
+    if len(found) == 1:
+        return found[0]
+    every = reduce(DataFrame.union, found).groupBy("doc_id", "th").agg(
+        F.max("n_words").alias("n_words"),
+        (F.count(F.lit(1)) / len(found)).cast("long").alias("copies"),
+        F.collect_list(F.when(F.size("items") > 0, F.col("items"))).alias("items"),
+        F.collect_list(F.when(F.size("spans") > 0, F.col("spans"))).alias("spans"),
+    )
+    return map_rows(every, _merge_batch, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
