@@ -2,7 +2,7 @@
 
 Every string of ``length`` bytes is looked at, in every document, by where it starts.
 
-1. Anchors.  Of the grams (of about a third of ``length``) inside a string, the one with the smallest hash is
+1. Anchors.  Of the grams (a fifth of ``length``) inside a string, the one with the smallest hash is
    its anchor (the first of equals).  The anchor follows from the string's bytes alone, so
    equal strings have equal anchors; consecutive strings mostly share one.
 2. Strings whose anchor comes once in all documents are unique.  The rest are cut out as
@@ -290,7 +290,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     if length > 32000:
         raise ValueError("strings of at most 32000 bytes")
     spark = docs.sparkSession
-    gram = gram or max(1, length * 64 // 200)
+    gram = gram or max(1, length // 5)
     ship(spark)
     rows = _keyed(docs)
     schema = "did long, th int, s0 int, w int, h long"
