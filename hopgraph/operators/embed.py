@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.feature import PCA, Word2Vec
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,30 +16,8 @@ from hopgraph.operators.graph import Graph
 from hopgraph.operators.walk import KINDS, Walker, decayed_walks, distance_bounds, resample
 from hopgraph.plans.scratch import Scratch
 
-# Word2Vec of Spark ML keeps the whole vocabulary on the driver and in every
-# task; beyond this many floats the joined trainer takes over.
-DRIVER_FLOATS = 50_000_000
-
 
 # ---------------------------------------------------------------- E1 skip-gram
-def skipgram(
-    walks: DataFrame, dim: int = 16, window: int = 5, iters: int = 1, seed: int = 0, partitions: int = 1, nodes: int | None = None
-) -> DataFrame:
-    """Skip-gram over ``walks(path)``; picks the trainer by the checked vocabulary size."""
-    if nodes is None:
-        nodes = walks.select(F.explode("path").alias("id")).distinct().count()
-    if nodes * dim > DRIVER_FLOATS:
-        return skipgram_joined(walks, dim, window, max(iters, 20), seed)
-    text = walks.select(F.transform("path", lambda x: x.cast("string")).alias("path"))
-    model = Word2Vec(
-        vectorSize=dim, windowSize=window, minCount=0, maxIter=iters, seed=seed, numPartitions=partitions,
-        inputCol="path", outputCol="v", maxSentenceLength=10_000,
-    ).fit(text)
-    return model.getVectors().select(
-        F.col("word").cast("bigint").alias("id"), vector_to_array("vector").alias("v")
-    )
-
-
 def window_pairs(walks: DataFrame, window: int) -> DataFrame:
     """``(u, v, cnt)``: co-occurrences within ``window`` positions, counted before any training."""
     pairs = walks.select(
@@ -59,19 +37,21 @@ def window_pairs(walks: DataFrame, window: int) -> DataFrame:
     return both.select("e.u", "e.v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def skipgram_joined(
+def skipgram(
     walks: DataFrame, dim: int = 16, window: int = 5, iters: int = 20, seed: int = 0, rate: float = 0.5, negatives: int = 1
 ) -> DataFrame:
-    """E1 at scale: the same objective by joins and sums, nothing kept on the driver.
+    """Skip-gram over ``walks(path)`` by joins and sums, nothing kept on the driver.
 
-    Counted co-occurrences are positive samples; each is matched with hashed
-    partners as negatives.  The embedding table is updated once per iteration.
+    Counted co-occurrences are positive samples; each node is matched with hashed
+    partners as negatives.  The embedding table is updated once per iteration with
+    summed gradients, so the result does not depend on the partitions.  Every node
+    of the walks has a vector.
     """
     from hopgraph.operators.sample import draw_partners
 
     scratch = Scratch(walks.sparkSession, "sgj")
     pos = scratch.cut(window_pairs(walks, window).select("u", "v", F.col("cnt").cast("double").alias("w"), F.lit(1.0).alias("t")))
-    ids, n = scratch.save(pos.select(F.col("u").alias("id")).distinct())
+    ids, n = scratch.save(walks.select(F.explode("path").alias("id")).distinct())
     neg = draw_partners(ids.select(F.col("id").alias("src")), ids, n, negatives * 2 * window, seed)
     pairs = scratch.cut(
         pos.union(neg.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1.0), F.lit(0.0)).filter("u <> v"))
@@ -352,7 +332,7 @@ def edge_softmax(arcs: DataFrame, score: str = "score") -> DataFrame:
 
 def embed(
     graph: Graph, method: str, dim: int = 16, score: DataFrame | None = None, alpha: float = 0.9, walks: int = 40,
-    length: int = 40, window: int = 20, seed: int = 0, iters: int = 1,
+    length: int = 40, window: int = 20, seed: int = 0, iters: int = 20,
 ) -> DataFrame:
     """Embedding by method name."""
     if method == "random":
@@ -371,12 +351,12 @@ def embed(
             if rule.decay is None
             else decayed_walks(walker, graph.nodes, walks, length, rule, seed)
         )
-        return skipgram(corpus, dim, window, iters, seed, nodes=graph.n)
+        return skipgram(corpus, dim, window, iters, seed)
     if method == "resampled":
         rule = KINDS["bc" if score is not None else "gen"]
         walked = Walker(graph, score).run(graph.nodes, walks, length, rule, seed)
         corpus = resample(distance_bounds(graph, walked), score, alpha, walks, length, seed)
-        return skipgram(corpus, dim, window, iters, seed, nodes=graph.n)
+        return skipgram(corpus, dim, window, iters, seed)
     raise ValueError(f"unknown embedding method {method!r}")
 
 

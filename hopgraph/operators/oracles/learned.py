@@ -116,7 +116,7 @@ def walk_oracle(
     """Second-order walks, skip-gram and a two-layer decoder."""
     scratch = Scratch(graph.spark, "walkoracle")
     corpus = walks(graph, graph.nodes, Rule(p=p, q=q), per_root, length, seed=seed)
-    emb = scratch.cut(E.skipgram(corpus, dim, window, 1, seed, nodes=graph.n))
+    emb = scratch.cut(E.skipgram(corpus, dim, window, 10, seed))
     _, _, table = _landmarks(graph, landmarks, seed=seed)
     net = MLPDecoder.fit(pair_features(train_pairs(table), emb), 2 * dim, epochs=epochs, softplus=True, seed=seed)
     return DecodedOracle.made(emb, net, {"dim": dim}, home=home_table(graph))
@@ -128,7 +128,7 @@ def star_oracle(
     """Star walks; the decoder trains on pairs of the most frequent roots."""
     scratch = Scratch(graph.spark, "star")
     corpus = scratch.cut(star_walks(graph, graph.nodes, length))
-    emb = scratch.cut(E.skipgram(corpus, dim, window, 1, seed, nodes=graph.n))
+    emb = scratch.cut(E.skipgram(corpus, dim, window, 10, seed))
     roots = scratch.cut(roots_by_frequency(corpus).limit(landmarks).select("id"))
     table = landmark_table(graph, roots)
     net = MLPDecoder.fit(pair_features(train_pairs(table), emb), 2 * dim, epochs=epochs, softplus=True, seed=seed)
@@ -196,7 +196,7 @@ def centrality_oracle(graph: Graph, s: CentralityWalk = CentralityWalk()) -> Dec
             walked = walker.run(graph.nodes, s.per_root, s.length, rule, s.seed)
         bounds = scratch.cut(distance_bounds(graph, walked))
         corpus = resample(bounds, score, s.alpha, s.out_walks, s.out_len, s.seed, s.weighted_resample)
-        walk_emb = E.skipgram(corpus, s.dim, s.window, 1, s.seed, nodes=graph.n)
+        walk_emb = E.skipgram(corpus, s.dim, s.window, 10, s.seed)
         emb, width = scratch.cut(walk_emb), s.dim
         if s.use_boost:
             emb, width = scratch.cut(E.concat_embeddings(emb, low)), s.dim + len(chosen)

@@ -190,6 +190,23 @@ def emb_pca_facts(spark, sf):
     return flat.select("n", "width", falls.alias("out_of_order"))
 
 
+@register(
+    "emb_skipgram_facts",
+    S.query(S.graph("link"), "select count(*) as n, count(*) as nodes, true as nearer from nodes"),
+)
+def emb_skipgram_facts(spark, sf):
+    """Every node has one vector, and joined nodes point the same way more than drawn ones."""
+    g = graphs.graph(spark, sf, "link")
+    scratch = Scratch(spark, "facts")
+    emb = scratch.cut(E.skipgram(scratch.cut(K.walks(g, g.nodes, "uniform", 4, 8).select("path")), 16, 3))
+    _, drawn = _classical(spark, sf, 4, 50)
+    mean = lambda pairs, name: D.closed_scores(pairs, emb).agg(F.avg("cosine").alias(name))
+    both = mean(g.arcs.select("src", "dst"), "a").join(mean(drawn.filter("src <> dst"), "b"))
+    return emb.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("nodes")).join(both).select(
+        "n", "nodes", (F.col("a") > F.col("b")).alias("nearer")
+    )
+
+
 @register(
     "linear_decoder_line",
     """select vec_id as id, round(regr_intercept(label, embedding[1]::double) over () + regr_slope(label, embedding[1]::double) over () * embedding[1]::double, 4) as pred

@@ -239,13 +239,13 @@ def emb_random_filled(spark, sf):
 def emb_skipgram(spark, sf):
     g = graphs.graph(spark, sf, "link")
     corpus = K.walks(g, g.nodes, "uniform", 4, 8)
-    return _emb_rows(E.skipgram(corpus, 16, 3, nodes=g.n), 3)
+    return _emb_rows(E.skipgram(corpus, 16, 3), 3)
 
 
 @register("emb_skipgram_joined")
 def emb_skipgram_joined(spark, sf):
     g = graphs.graph(spark, sf, "supply")
-    return _emb_rows(E.skipgram_joined(K.star_walks(g, g.nodes, 8), 8, 2, iters=3), 3)
+    return _emb_rows(E.skipgram(K.star_walks(g, g.nodes, 8), 8, 2, iters=3), 3)
 
 
 @register("emb_laplacian")

@@ -58,11 +58,11 @@ def test_factorise_and_squared_distance_improve(spark):
     assert sq_loss(E.fit_squared_distance(table, start, 3, 8)) < sq_loss(start)
 
 
-def test_skipgram_both_trainers(spark):
+def test_skipgram(spark):
     walks = spark.createDataFrame([(i % 2, [i % 2 * 10 + j for j in (1, 2, 3, 1, 2)]) for i in range(30)], "root bigint, path array<bigint>")
-    joined = {r.id: np.array(r.v) for r in E.skipgram_joined(walks, 4, 2, iters=10).collect()}
-    plain = E.skipgram(walks, 4, 2).collect()
-    assert {r.id for r in plain} == set(joined) == {1, 2, 3, 11, 12, 13}
+    alone = spark.createDataFrame([(99, [99])], walks.schema)
+    joined = {r.id: np.array(r.v) for r in E.skipgram(walks.union(alone), 4, 2, iters=10).collect()}
+    assert set(joined) == {1, 2, 3, 11, 12, 13, 99}
     assert joined[1] @ joined[2] > joined[1] @ joined[12]
 
 
