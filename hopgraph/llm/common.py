@@ -19,7 +19,7 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, wherever they start; once per application."""
     if spark.conf.get(_BATCH, "64m").lower().rstrip("b") in ("67108864", "64m"):  # Spark's own value: texts need less
-        spark.conf.set(_BATCH, "16m")
+        spark.conf.set(_BATCH, "4m")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -45,7 +45,7 @@ def utf8(column: str = "text") -> Column:
 
 
 #: Bytes of Arrow data that a worker turns into Python objects at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -56,6 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, SLICE_BYTES))
             for at in range(0, batch.num_rows, step):
                 yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
 
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, *args) -> DataFrame:

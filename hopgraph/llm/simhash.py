@@ -25,7 +25,7 @@ from hopgraph.plans.scratch import Scratch
 
 SEED = 42
 #: Values that one block writes out on average, and at most at a time.
-BLOCK_VALUES = 1 << 21
+BLOCK_VALUES = 1 << 20
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
