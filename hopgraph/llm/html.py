@@ -47,11 +47,23 @@ _MARKED = frozenset(
 )
 
 
-def _is_marked(attributes: str) -> bool:
+#: Before a marked word, these say that the element has such a part or none, not that it is one.
+_STATES = frozenset("has with no without".split())
+#: Asides whose articles are other people's or other pages'.
+_OTHERS = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
+
+
+def _marks(attributes: str) -> set[str]:
+    """The marked words among the names of class, id and role."""
     if "=" not in attributes:
-        return False
-    words = (w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or ""))
-    return any(w in _MARKED for w in words)
+        return set()
+    found = set()
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            if words and words[0] not in _STATES:
+                found.update(w for w in words if w in _MARKED)
+    return found
 
 
 def lines(html: str) -> list[tuple[str, int, bool, bool]]:
@@ -59,7 +71,7 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
     found: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     plain = [0]
-    shut: list[list] = []  # open elements whose text does not count: [name, depth]
+    shut: list[list] = []  # open elements whose text does not count: [name, depth, whether an article in it counts]
     links, article, at = 0, 0, 0
 
     def text(piece: str) -> None:
@@ -111,13 +123,17 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if shut and shut[-1][0] in _LOOSE and (name == shut[-1][0] or shut[-1][0] == "p" and name in _BLOCKS):
             shut.pop()
-        if name == "main" or name == "article" and shut and shut[-1][0] in ("nav", "header", "head"):
+        marks = set() if name in ("body", "html") else _marks(m[3])
+        if name == "main":
+            marks &= _OTHERS  # its name may tell what stands beside it
+        if name == "main" or name == "article" and not marks and all(x[2] for x in shut):
             shut.clear()
-        aside = name in _ASIDE or name == "header" and not article or name not in ("body", "html") and _is_marked(m[3])
+        aside = name in _ASIDE or name == "header" and not article or bool(marks)
         if name in _VOID:
             pass
         elif name in _MUTE or aside:
-            shut.append([name, 1])
+            others = name in _MUTE - {"head"} or name in ("aside", "footer") or bool(marks & _OTHERS)
+            shut.append([name, 1, not others])
         elif shut and shut[-1][0] == name:
             shut[-1][1] += 1
         if name in ("article", "main") and not aside:

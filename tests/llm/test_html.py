@@ -23,6 +23,24 @@ def test_page_furniture_goes():
     assert main_text(furniture % plain)[0] == "\n\n".join([("word " * 30).strip(), "short", ("more " * 30).strip()])
 
 
+def test_articles_end_marked_wrappers():
+    for page in (
+        '<div class="page has-sidebar">%s</div>',
+        '<div class="page with-sidebar"><div class="content-sidebar">%s</div></div>',
+        '<div id="content" class="no-comments">%s</div>',
+        '<div class="sidebar-layout"><div>%s</div></div>',
+        '<main class="content-sidebar">%s</main>',
+        '<nav><ul><li>Menu</li></ul><div>%s</div>',
+    ):
+        assert main_text(f"<html><body>{page % ARTICLE}</body></html>")[0] == WANT
+    wide = "<p>" + "word " * 30 + "</p>"
+    for name in ("page has-sidebar", "no-comments", "withoutAds"):
+        assert main_text(f'<div class="{name}">{wide}</div>')[0] == ("word " * 30).strip()
+    other = "<article><p>Another story or a reader's words</p></article>"
+    for box in ('<div class="related">%s</div>', "<div id=comments><div>%s</div></div>", "<aside>%s</aside>"):
+        assert main_text(f'<div class="has-sidebar">{ARTICLE}{box % other}</div>')[0] == WANT
+
+
 def test_broken_and_empty_pages():
     for x in (None, "", "<", "<p", "<!--", "<script>", "</p>", "<nav>only a menu</nav>"):
         assert main_text(x)[0] == ""
