@@ -5,6 +5,7 @@ from __future__ import annotations
 from hopgraph.llm.chat import OP7_SQL, op7_chat_format
 from hopgraph.llm.decontaminate import OP1_SQL, op1_contamination
 from hopgraph.llm.html import op6_main_text
+from hopgraph.llm.merkle import OP12_SQL, op12_manifest
 from hopgraph.llm.pack import op5_packing
 from hopgraph.llm.ppm import op4_lm_score
 from hopgraph.llm.quality import op3_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_top_k": op9_top_k,
     "op10_repeats": op10_repeats,
+    "op12_manifest": op12_manifest,
 }
 
 SQL = {
@@ -32,4 +34,5 @@ SQL = {
     "op8_sharding": OP8_SQL,
     "op9_top_k": OP9_SQL,
     "op10_repeats": OP10_SQL,
+    "op12_manifest": OP12_SQL,
 }
