@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hopgraph.llm.chat import OP7_SQL, op7_chat_format
 from hopgraph.llm.decontaminate import OP1_SQL, op1_contamination
+from hopgraph.llm.dialogue import OP13_SQL, op13_repair
 from hopgraph.llm.html import op6_main_text
 from hopgraph.llm.merkle import OP12_SQL, op12_manifest
 from hopgraph.llm.pack import op5_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_repeats": op10_repeats,
     "op12_manifest": op12_manifest,
+    "op13_repair": op13_repair,
 }
 
 SQL = {
@@ -35,4 +37,5 @@ SQL = {
     "op9_top_k": OP9_SQL,
     "op10_repeats": OP10_SQL,
     "op12_manifest": OP12_SQL,
+    "op13_repair": OP13_SQL,
 }
