@@ -133,7 +133,7 @@ def test_chunks_give_the_plain_pass(spark, chunk):
 def test_edits_are_whole(spark):
     fixed, _, _ = run(spark, {1: [("system", "s."), ("tool", " "), ("user", "b.")]}, 2)
     got = [(r.edit, r.role, r.text) for r in fixed.edits().orderBy("rn", "step").collect()]
-    assert got == [("D", None, None), ("D", None, None), ("D", None, None)]
+    assert got == [("R", "user", "s."), ("D", None, None), ("R", "assistant", "b.")]
     fixed, _, _ = run(spark, {1: [("user", "b."), ("user", "c"), ("user", "d.")], 2: [("assistant", "a."), ("user", "b.")]}, 2)
     got = [(r.edit, r.role, r.text) for r in fixed.edits().orderBy("rn", "step").collect()]
     assert got == [
