@@ -14,6 +14,7 @@ from hopgraph.llm.repeats import OP10_SQL, op10_repeats
 from hopgraph.llm.shard import OP8_SQL, op8_sharding
 from hopgraph.llm.simhash import op2_near_duplicates
 from hopgraph.llm.topk import OP9_SQL, op9_top_k
+from hopgraph.llm.toxicity import op11_toxicity
 
 QUERIES = {
     "op1_contamination": op1_contamination,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_top_k": op9_top_k,
     "op10_repeats": op10_repeats,
+    "op11_toxicity": op11_toxicity,
     "op12_manifest": op12_manifest,
     "op13_repair": op13_repair,
 }
