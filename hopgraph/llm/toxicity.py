@@ -13,9 +13,9 @@ document (texts that share one of ``SIGNATURES`` smallest shingle hashes) the fi
 copies of a sentence count once, so that the words of a text with many copies are no witnesses.  How many of either kind hold a word is added up in Spark.  Words much more frequent
 in toxic sentences are their witnesses, words that are not are clean.  Landmarks are words least
 explained by those before them (pivoted Cholesky); the machine is fitted in the space they span,
-by squared hinge loss, then once more with the clean words that it takes for toxic.  A text's
+by squared hinge loss, then anew with the clean words that it takes for toxic.  A text's
 score follows from its worst word and from how many are toxic by a logistic curve, fitted on counts
-by rounded values from all labelled texts.
+by rounded values of the labelled texts.
 
 As the machine is linear in the subsequences of its landmarks, it is folded into one weight for
 each of them; scoring a word is a sum over its subsequences.
@@ -43,7 +43,9 @@ from hopgraph.plans.scratch import Scratch
 ORDER, SPAN, DECAY = 4, 7, 0.75
 #: Characters of a word, mark included; longer ones are cut, overlapping by half.
 WORD = 24
-LANDMARKS = 192
+LANDMARKS = 256
+#: Labelled documents of each label that are learned from, at most.
+SAMPLE = 8000
 #: Distinct words of each class that the machine is fitted on, at most: those in most sentences.
 WORDS = 6000
 #: Smallest hashes of a text's five-word shingles that tell near copies.
@@ -55,6 +57,8 @@ REMEMBERED = 1 << 18
 LIFT, DEVIATIONS, EVEN = 6.0, 2.0, 1.5
 #: Words of at least this value count as toxic ones of a text.
 SURE = 0.5
+#: Rounds in which clean words that are taken for toxic ones are added and the machine is fitted anew.
+ROUNDS = 2
 #: How much the words of a class weigh together against the machine's norm.
 STRICT = 1000.0
 CUT = 0.3
@@ -194,12 +198,14 @@ class Kernel:
         return out
 
 
-def landmarks(candidates: list[str], m: int) -> list[int]:
-    """Numbers of at most ``m`` candidates, each the one least explained by those before it."""
+def landmarks(candidates: list[str], m: int, worth: list[float] | None = None) -> list[int]:
+    """Numbers of at most ``m`` candidates, each the one least explained by those before it; what is
+    left of a candidate counts by its ``worth``."""
     m = min(m, len(candidates))
     left, chosen, rows = np.ones(len(candidates)), [], []
+    by = np.ones(len(candidates)) if worth is None else np.array(worth)
     for _ in range(m):
-        p = int(left.argmax())
+        p = int((left * by).argmax())
         if left[p] < 1e-6:
             break
         column = Kernel([candidates[p]]).rows(candidates)[:, 0]
@@ -337,21 +343,32 @@ def _count(schema: pa.Schema):
     return run
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(t, y) of labelled documents outside the held-out quarter; a document with several label
-    rows counts for each, a null label for none."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(t, y, weight) of labelled documents outside the held-out quarter, of each label the ``most``
+    of the smallest hashes of their ids; weight is how many labelled ones each stands for.
+
+    A document with both labels counts for each, a null label for none.  The ids taken are at
+    most 2 x ``most`` rows and go to the texts, which do not move.
+    """
     marks = labels.filter("toxic in (0, 1) and pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2")
-    marks = marks.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("y"))
+    marks = marks.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("y")).distinct()
+    total = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
+    taken = [
+        marks.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
+        .withColumn("weight", F.lit(total.get(y, 0) / max(1, min(most, total.get(y, 0)))))
+        for y in (0, 1)
+    ]
+    taken = Scratch(docs.sparkSession, "toxicity").cut(taken[0].union(taken[1]), "taken")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t"))
-    return rows.join(marks, F.col("doc_id") == F.col("_id")).select("t", "y")
+    return rows.join(F.broadcast(taken), F.col("doc_id") == F.col("_id")).select("t", "y", "weight")
 
 
 def fit(rows: DataFrame, most: int = WORDS, m: int = LANDMARKS) -> Machine | None:
-    """The machine of the rows (t, y); None if a class has no sentence.
+    """The machine of the rows (t, y, weight); None if a class has no sentence.
 
     All rows are counted in Spark.  What reaches the driver is ``most`` words of toxic sentences
-    (the most frequent), three times as many of clean ones (the most frequent, those of the
-    smallest hashes and those taken for toxic first) and counts by rounded values.
+    (the most frequent), 2 + ``ROUNDS`` times as many of clean ones (the most frequent, those of
+    the smallest hashes and those taken for toxic) and counts by rounded values.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -377,12 +394,16 @@ def fit(rows: DataFrame, most: int = WORDS, m: int = LANDMARKS) -> Machine | Non
     if model is None:
         return None
     clean = known.filter((F.col("lift") < LIFT) & (F.col("good") > 0)).select("w", "good")
-    wrong = map_rows(clean, _taken, "w string, good long, value double", model).filter("value > -0.5")
-    good |= {r.w: r.good for r in wrong.orderBy(F.desc("good"), "w").limit(most).collect()}
-    model = _machine(bad, good, m)
-    places = map_rows(rows, _places_of, "y int, x array<int>", model).groupBy("y", "x").count().collect()
+    hard: dict[str, float] = {}
+    for _ in range(ROUNDS):
+        wrong = map_rows(clean, _taken, "w string, good long, value double", model).filter("value > -0.5")
+        wrong = wrong.withColumn("worth", (F.col("value") + 1) * F.sqrt("good"))
+        for r in wrong.orderBy(F.desc("worth"), "w").limit(most).collect():
+            good[r.w], hard[r.w] = r.good, hard.get(r.w, 0.0) + r.worth
+        model = _machine(bad, good, m, hard)
+    places = map_rows(rows, _places_of, "y int, x array<int>, weight double", model).groupBy("y", "x").agg(F.sum("weight").alias("n")).collect()
     x = np.array([r.x for r in places], float).reshape(-1, 3) / 20
-    model.curve = _logistic(x, np.array([r.y for r in places]), np.array([r["count"] for r in places], float))
+    model.curve = _logistic(x, np.array([r.y for r in places]), np.array([r.n for r in places], float))
     return model
 
 
@@ -395,18 +416,29 @@ def _gapped(word: str) -> list[str]:
     return [word[:at] + "\0" + word[at:] for at in range(3, min(len(word), WORD - 1))]
 
 
-def _machine(bad: dict[str, int], good: dict[str, int], m: int) -> Machine | None:
-    """The machine that tells the words of ``bad`` from those of ``good``, given how many sentences have them."""
+def _machine(bad: dict[str, int], good: dict[str, int], m: int, hard: dict[str, float] | None = None) -> Machine | None:
+    """The machine that tells the words of ``bad`` from those of ``good``, given how many sentences have them.
+
+    ``hard`` are words of ``good`` that an earlier machine took for toxic, and how grave that is:
+    together they weigh as much as the others, and landmarks are taken from them first.
+    """
     if not bad or not good:
         return None
     gapped = {g: bad[w] / 4 for w in bad for g in _gapped(w)}
     found = [*bad, *gapped, *good]
     y = np.repeat([1.0, -1.0], [len(bad) + len(gapped), len(good)])
     size = np.sqrt(np.array([*bad.values(), *gapped.values(), *good.values()], float))
+    size[: len(bad) + len(gapped)] **= 2  # rare ones may be there by chance
+    if hard:
+        again = np.array([w in hard for w in found])
+        size[again] *= size[(y < 0) & ~again].sum() / size[again].sum()
     weight = STRICT * np.where(y > 0, size / size[y > 0].sum(), size / size[y < 0].sum())
     plus, minus = (sorted(d, key=lambda w: (-d[w], w)) for d in (bad, good))
     plus, minus = plus[: 8 * m], minus[: 4 * m]
-    chosen = [plus[i] for i in landmarks(plus, m * 2 // 3)]
+    chosen = [plus[i] for i in landmarks(plus, m // 2, [np.sqrt(bad[w]) for w in plus])]
+    worst = sorted(hard or {}, key=lambda w: (-hard[w], w))[: 8 * m]
+    chosen += [worst[i] for i in landmarks(worst, (m - len(chosen)) * 3 // 4, [hard[w] for w in worst])]
+    minus = [w for w in minus if w not in chosen]
     chosen += [minus[i] for i in landmarks(minus, m - len(chosen))]
     kernel = Kernel(chosen)
     values, vectors = np.linalg.eigh(kernel.rows(chosen))
@@ -435,7 +467,7 @@ def _text(t: bytes | None) -> str:
 
 def _places_of(cols: dict, model: Machine) -> dict:
     x = model.texts([_text(t) for t in cols["t"].to_pylist()])
-    return {"y": cols["y"], "x": np.clip(np.round(20 * x), -200, 400).astype(int).tolist()}
+    return {"y": cols["y"], "weight": cols["weight"], "x": np.clip(np.round(20 * x), -200, 400).astype(int).tolist()}
 
 
 def _score_rows(cols: dict, model: Machine | None) -> dict:
