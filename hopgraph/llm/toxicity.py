@@ -66,7 +66,6 @@ CUT = 0.3
 _MARK = "^"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = re.compile(r"[\W_]+")
-_SPACED = re.compile(r"(?:^|\s)\W*\w\W*\s+\W*\w\W*(?:\s|$)")
 
 
 def _cut(word: str) -> list[str]:
@@ -83,12 +82,16 @@ def plain(token: str) -> str:
     return token if token.isalnum() else _OTHER.sub("", token)
 
 
-def spelled(text: str) -> list[str]:
-    """Words that are written as single letters in a row."""
-    if not _SPACED.search(text):
-        return []
+def spelled(tokens: list[str]) -> list[str]:
+    """Words that are written as single letters in a row, each with at most two marks beside it."""
     found, letters = [], []
-    for token in [*text.split(), "end"]:
+    for token in [*tokens, "the end"]:
+        if len(token) > 3:
+            if letters:
+                if len(letters) > 1:
+                    found.append("".join(letters))
+                letters = []
+            continue
         token = plain(token)
         if len(token) == 1:
             letters.append(token)
@@ -111,7 +114,7 @@ def sentences(text: str) -> list[set[str]]:
             if token[-1] in ".!?" and found:
                 out.append(found)
                 found = set()
-        found.update(w for x in spelled(line) for w in _cut(x))
+        found.update(w for x in spelled(line.split()) for w in _cut(x))
         if found:
             out.append(found)
     return out
@@ -173,12 +176,24 @@ class Kernel:
                 owners.append(np.repeat(at, codes.shape[1]))
                 values.append((weights / _norms(codes, weights)[:, None]).ravel())
         self.n = len(fixed)
+        self._likely = np.zeros(0, bool)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         self.keys, inverse = np.unique(flat, return_inverse=True)
         self.table = np.zeros((len(self.keys) + 1, self.n))  # the last row is for all that is not here
         if keys:
             np.add.at(self.table, (inverse, np.concatenate(owners)), np.concatenate(values))
 
+    def likely(self) -> np.ndarray:
+        """By the first 20 bits of a code whether a key begins so; most codes are no key."""
+        if len(self._likely) == 0:
+            self._likely = np.zeros(1 << 20, bool)
+            self._likely[self.keys >> np.uint64(44)] = True
+        return self._likely
+
+    def _find(self, codes: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
+        return np.where(self.keys[place] == codes, place, len(self.keys))
+
     def rows(self, found: list[str], weights_by_key: np.ndarray | None = None) -> np.ndarray:
         """k(word, fixed words) of each word, or its product with ``weights_by_key``."""
         by = self.table if weights_by_key is None else weights_by_key[:, None]
@@ -187,9 +202,9 @@ class Kernel:
             codes, weights = subsequences(group)
             if not codes.shape[1] or not len(self.keys):
                 continue
-            place = np.searchsorted(self.keys, codes)
-            place[place == len(self.keys)] = 0
-            place[self.keys[place] != codes] = len(by) - 1
+            place = np.full(codes.shape, len(by) - 1)
+            likely = self.likely()[codes >> np.uint64(44)]
+            place[likely] = self._find(codes[likely])
             norms = _norms(codes, weights)[:, None]
             if by.shape[1] == 1:
                 out[at] = (by[place, 0] @ weights)[:, None] / norms
@@ -265,7 +280,7 @@ class Machine:
         if len(self._known) > REMEMBERED:
             self._known.clear()
         parts = [t.split() for t in texts]
-        more = [spelled(t) for t in texts]
+        more = [spelled(p) for p in parts]
         new = list(set().union(*parts, *more) - self._known.keys())
         cut = [_cut(w) if len(w := plain(t)) > 1 else [] for t in new]
         named = list(set().union(*cut))
