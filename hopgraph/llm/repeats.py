@@ -11,8 +11,10 @@ Every string of ``length`` bytes is looked at, in every document, by where it st
    that start in them are put into suffix order.  There, the previous and the next entry with
    a smaller position give each string's longest previous factor (LPF); a string is repeated
    later if its LPF reaches ``length``, and it is the first of several if a later one's does.
-4. Segments of an anchor that comes more than ``CROWD`` times (in a line or passage that very
-   many documents share) are cut into slices of ``SLICE`` strings that meet by all the bytes
+4. Of an anchor that comes more than ``CROWD`` times (in a line or passage that very many
+   documents share), equal segments are told by anchor and a hash of all their bytes, by sums
+   that combine before the shuffle: they are repeated as a whole, and only the first goes on.
+   What is left, all different, is cut into slices of ``SLICE`` strings that meet by all the bytes
    these share.  Slices that still differ in more than ``CROWD`` ways (the borders of such a
    passage) are cut into single strings, which meet by a hash of all their bytes.
 """
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from hopgraph.llm.common import arrow_schema, map_rows, ship, slices, table, utf8
+from hopgraph.plans.scratch import Scratch
 
 LENGTH = 200
 #: Segments of one anchor that one suffix order takes, and strings in a slice beyond it.
@@ -95,12 +98,15 @@ def _anchor_rows(cols: dict, length: int, gram: int) -> dict:
     did, th = cols["did"].to_numpy(), cols["th"].to_numpy()
     found = [anchors(t, length, gram) for t in cols["t"].to_pylist()]
     sizes = [len(f[0]) for f in found]
+    texts = cols["t"].to_pylist()
+    whole = [xxh3_64_intdigest(t[a : b + length]) - (1 << 63) for t, f in zip(texts, found) for a, b in zip(f[0].tolist(), f[1].tolist())]
     return {
         "did": np.repeat(did, sizes),
         "th": np.repeat(th, sizes),
         "s0": np.concatenate([f[0] for f in found]).astype(np.int32),
         "w": np.concatenate([(f[1] - f[0] << 16) | (f[3] - f[0]) for f in found]).astype(np.int32),
         "h": np.concatenate([f[2] for f in found]).view(np.int64),
+        "sh": whole,
     }
 
 
@@ -275,7 +281,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """(did, th, t): a key for each different row, null ids included, and the text's bytes."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"),
-        F.hash("text").alias("th"),
+        F.xxhash64("text").alias("th"),
         F.coalesce(utf8(), F.lit(b"")).alias("t"),
     )
 
@@ -293,25 +299,36 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     gram = gram or max(1, length // 5)
     ship(spark)
     rows = _keyed(docs)
-    schema = "did long, th int, s0 int, w int, h long"
+    schema = "did long, th long, s0 int, w int, h long, sh long"
     found = map_rows(rows.filter(F.octet_length("t") >= length), _anchor_rows, schema, length, gram)
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = found.join(twice.withColumnRenamed("h", "h2"), F.col("h") == F.col("h2"))
-    run = F.struct("s0", "w", "h", (F.col("n") > CROWD).alias("crowd"))
-    runs = shared.groupBy("did", "th").agg(F.collect_list(run).alias("runs"))
+    shared = found.join(twice.withColumnRenamed("h", "h2"), F.col("h") == F.col("h2")).drop("h2")
+    shared = Scratch(spark, "repeats").cut(shared.withColumn("crowd", F.col("n") > CROWD).drop("n"), "shared")
+    place = F.struct("did", "th", "s0")
+    alike = shared.filter("crowd").groupBy("h", "sh").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("first")).filter("m > 1")
+    alike = alike.withColumnsRenamed({"h": "h2", "sh": "sh2"})
+    known = shared.filter("crowd").join(alike, (F.col("h") == F.col("h2")) & (F.col("sh") == F.col("sh2")), "left")
+    first = F.col("m").isNull() | (place == F.col("first"))
+    told_whole = known.filter("m > 1").select(
+        "did", "th", F.col("s0").alias("a"), (F.col("s0") + F.shiftright("w", 16)).alias("b"),
+        (place != F.col("first")).alias("earlier"), F.lit(None).cast("binary").alias("seg"),
+    )
+    left = shared.filter("not crowd").drop("sh").unionByName(known.filter(first).select("did", "th", "s0", "w", "h", "crowd"))
+    run = F.struct("s0", "w", "h", "crowd")
+    runs = left.groupBy("did", "th").agg(F.collect_list(run).alias("runs"))
     texts = rows.join(runs, ["did", "th"])
-    schema = "k1 long, k2 long, did long, th int, s0 int, seg binary"
+    schema = "k1 long, k2 long, did long, th long, s0 int, seg binary"
     cut = map_rows(texts, _cut_rows, schema, length, min(SLICE, length))
     met = cut.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "seg", "did", "th", "s0")
-    schema = "did long not null, th int not null, a int, b int, earlier boolean, seg binary"
+    schema = "did long not null, th long not null, a int, b int, earlier boolean, seg binary"
     out = arrow_schema(spark, schema)
     # dealt by document once, with all columns and rows, for both that read it: what is found
     # and the slices still open (their earlier is null)
     told = met.mapInArrow(_match(length, CROWD, BLOCK_BYTES, out), schema).repartition("did", "th")
-    singles = map_rows(told, _single_rows, "k1 long, k2 long, did long, th int, s0 int", length)
-    alike = singles.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "did", "th", "s0")
-    more = alike.mapInArrow(_match_singles(out), schema)
-    return told.union(more).select("did", "th", "a", "b", F.when(F.col("seg").isNull(), F.col("earlier")).alias("earlier"))
+    singles = map_rows(told, _single_rows, "k1 long, k2 long, did long, th long, s0 int", length)
+    met = singles.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "did", "th", "s0")
+    more = met.mapInArrow(_match_singles(out), schema)
+    return told.union(more).union(told_whole).select("did", "th", "a", "b", F.when(F.col("seg").isNull(), F.col("earlier")).alias("earlier"))
 
 
 def spans(ranges: list[dict] | None, length: int, later_only: bool) -> list[tuple[int, int]]:
@@ -387,7 +404,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marked = docs.withColumns(
         {
             "_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
-            "_th": F.hash("text"),
+            "_th": F.xxhash64("text"),
         }
     ).withColumnRenamed("text", "_text")
     by_doc = by_doc.withColumnsRenamed({"did": "_did", "th": "_th"})
