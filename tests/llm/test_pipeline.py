@@ -5,7 +5,7 @@ from hopgraph.llm.pack import public_paths
 from tests.llm.edge import documents, nothing
 from tests.llm.test_decontaminate import brute as windows
 from tests.llm.test_pack import check
-from tests.llm.test_simhash import classes, slow_print
+from tests.llm.test_resemblance import slow_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,7 +43,7 @@ def test_stages_against_brute_force(spark):
 
     one = stages[1](spark, good, SF).cache()
     rows = sorted((r.doc_id, r.text) for r in good.collect())
-    label = classes([slow_print(t) for _, t in rows])
+    label = slow_classes([t for _, t in rows])
     assert {r.doc_id for r in one.collect()} == {rows[i][0] for i in set(label)}
 
     cut = stages[2](spark, one, SF).cache()
