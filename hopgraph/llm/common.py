@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -56,7 +57,15 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, SLICE_BYTES))
             for at in range(0, batch.num_rows, step):
                 yield batch.slice(at, step)
-    pa.default_memory_pool().release_unused()  # the worker stays for later tasks
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, as the worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, *args) -> DataFrame:
