@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hopgraph.functions.hashing import h
+from hopgraph.operators.bitsearch import all_distances
 from hopgraph.operators.graph import Graph
 from hopgraph.plans.numbering import number_rows
 from hopgraph.plans.scratch import Scratch
@@ -338,12 +339,12 @@ def landmark_table(graph: Graph, landmarks: DataFrame, carry: tuple[str, ...] =
 
 
 def all_pairs(graph: Graph) -> DataFrame:
-    """Every reachable ordered pair, up to n^2 rows.
+    """Every reachable ordered pair, up to n^2 rows; 64 searches share the rows of a level.
 
     What only aggregates this table (diameter, betweenness, scores by distance)
     has forms that start from stated sources.
     """
-    return distances(graph, graph.nodes)
+    return all_distances(graph, graph.nodes)
 
 
 def path_counts(graph: Graph, sources: DataFrame) -> DataFrame:

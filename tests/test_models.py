@@ -184,8 +184,8 @@ def test_errors(spark):
         "nid string, pid string, metric string, value double, seq bigint",
     )
     assert tiny.rows(V.upsert_metrics(log)) == [("n", "p", "mae", 2.0)]
-    names = spark.createDataFrame([("dage~cora~7.log",)], "name string")
-    assert tiny.rows(V.parse_names(names, r"^(\w+)~(\w+)~(\d+)", ["m", "s", "n"])) == [("dage~cora~7.log", "dage", "cora", "7")]
+    names = spark.createDataFrame([("walk~ring~7.log",)], "name string")
+    assert tiny.rows(V.parse_names(names, r"^(\w+)~(\w+)~(\d+)", ["m", "s", "n"])) == [("walk~ring~7.log", "walk", "ring", "7")]
     assert len(V.one_at_a_time({"a": 1, "b": 2}, {"a": [1, 3], "b": [2, 4, 5]})) == 4
     table = V.sweep_settings(spark, [{"k": 1}, {"k": 2}], lambda s: {"x": s["k"] * 2})
     assert tiny.rows(table.select("run", "value")) == [(0, 2.0), (1, 4.0)]

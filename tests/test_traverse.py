@@ -11,6 +11,27 @@ def test_all_pairs(spark, name):
     assert got == want
 
 
+def test_searches_in_bits(spark):
+    """More than a block of sources, some of them out of reach of each other."""
+    from hopgraph.operators.bitsearch import BitSweep, all_distances, in_blocks
+    from hopgraph.operators.graph import Graph
+    from hopgraph.operators.shape import clean
+
+    ring = spark.range(150).selectExpr("id as src", "(id + 1) % 150 as dst").union(spark.range(200, 205).selectExpr("id", "id + 1"))
+    g = Graph.build(clean(ring))
+    got = {(r.src, r.id): r.d for r in all_distances(g, g.nodes).collect()}
+    want = {(a, b): min((a - b) % 150, (b - a) % 150) for a in range(150) for b in range(150)}
+    want |= {(a, b): abs(a - b) for a in range(200, 206) for b in range(200, 206)}
+    assert got == want
+    near = {(r.src, r.id): r.d for r in all_distances(g, g.nodes.filter("id < 70"), 3).collect()}
+    assert near == {k: d for k, d in want.items() if k[0] < 70 and d <= 3}
+    assert all_distances(g, g.nodes.filter("id < 0")).count() == 0
+    seeds = in_blocks(g.nodes.select("id"), "id")
+    sweep = BitSweep(g, seeds.select("block", "id", seeds.bit.alias("m")))
+    sweep.advance()
+    assert sweep.sizes[1] < 200 < 2 * 150  # neighbours' searches share rows
+
+
 def test_one_source_and_unreachable(spark):
     g = tiny.graph(spark, "D")
     src = tiny.ids(spark, 0)

@@ -6,6 +6,7 @@ from collections import defaultdict, deque
 
 from hopgraph.operators.graph import Graph
 
+# Demonstration graphs and shapes that the expected results belong to.
 EDGES = {
     "A": "3-0 3-1 3-2 3-8 3-7 1-4 4-5 4-7 7-6 6-5 8-7 8-9 9-10 8-10",
     "B": "3-0 3-1 3-2 3-4 3-12 4-5 4-7 4-6 5-7 5-6 6-7 4-8 8-9 8-10 8-11 9-10 8-12 12-13 14-13 12-14",
