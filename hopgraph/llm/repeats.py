@@ -7,33 +7,37 @@ Every string of ``length`` bytes is looked at, in every document, by where it st
    equal strings have equal anchors; consecutive strings mostly share one.
 2. Strings whose anchor comes once in all documents are unique.  The rest are cut out as
    segments: the consecutive strings of one anchor with their tails.  Segments meet by anchor.
-3. Equal segments are told at sight.  Of each different one the first stays, and the strings
-   that start in them are put into suffix order.  There, the previous and the next entry with
+3. Equal segments are told by their hashes: counts and the first place of each are added up
+   before the shuffle, so that a passage that any share of all documents holds is a few rows.
+   All places of a segment that comes twice repeat, and all but the first are later copies.
+4. Only the first place of each different segment is looked at further.  The segments of one
+   anchor are put into suffix order.  There, the previous and the next entry with
    a smaller position give each string's longest previous factor (LPF); a string is repeated
    later if its LPF reaches ``length``, and it is the first of several if a later one's does.
-4. Segments of an anchor that comes more than ``CROWD`` times (in a line or passage that very
-   many documents share) are cut into slices of ``SLICE`` strings that meet by all the bytes
-   these share.  Slices that still differ in more than ``CROWD`` ways (the borders of such a
-   passage) are cut into single strings, which meet by a hash of all their bytes.
+5. An anchor with more than ``CROWD`` different segments (the borders of a line or passage that very
+   many documents share) has them cut into parts of ``PARTS`` strings that meet by all the bytes
+   these share, and parts go through 3 to 5 again; parts of one string are told by 3 alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
 from hopgraph.llm.common import arrow_schema, map_rows, ship, slices, table, utf8
+from hopgraph.plans.scratch import Scratch
 
 LENGTH = 200
-#: Segments of one anchor that one suffix order takes, and strings in a slice beyond it.
+#: Different segments of one key that one suffix order takes, and strings in a part of one beyond it.
 CROWD = 4096
-SLICE = 10
+PARTS = (40, 10, 1)
 #: Bytes of different segments that one suffix order holds.
 BLOCK_BYTES = 1 << 19
 #: Positions of a text that are hashed in one go.
@@ -91,66 +95,58 @@ def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return np.concatenate(first), np.concatenate(last), np.concatenate(hashes), np.concatenate(places)
 
 
-def _anchor_rows(cols: dict, length: int, gram: int) -> dict:
-    did, th = cols["did"].to_numpy(), cols["th"].to_numpy()
-    found = [anchors(t, length, gram) for t in cols["t"].to_pylist()]
-    sizes = [len(f[0]) for f in found]
-    return {
-        "did": np.repeat(did, sizes),
-        "th": np.repeat(th, sizes),
-        "s0": np.concatenate([f[0] for f in found]).astype(np.int32),
-        "w": np.concatenate([(f[1] - f[0] << 16) | (f[3] - f[0]) for f in found]).astype(np.int32),
-        "h": np.concatenate([f[2] for f in found]).view(np.int64),
-    }
-
-
-def _cut_rows(cols: dict, length: int, part: int) -> dict:
-    out: dict[str, list] = {k: [] for k in ("k1", "k2", "did", "th", "s0", "seg")}
-    for did, th, text, runs in zip(*(cols[k].to_pylist() for k in ("did", "th", "t", "runs"))):
-        for run in runs:
-            s0, s1, place = run["s0"], run["s0"] + (run["w"] >> 16), run["s0"] + (run["w"] & 0xFFFF)
-            if not run["crowd"]:
-                for k, v in zip(out, (run["h"], 0, did, th, s0, text[s0 : s1 + length])):
-                    out[k].append(v)
-                continue
-            for j in range((place - s1) // part, (place - s0) // part + 1):  # strings j * part and more before the place
-                high, low = place - j * part, place - (j + 1) * part + 1
-                a, b = max(s0, low), min(s1, high)
-                shared = xxh3_64_intdigest(text[high : low + length])
-                for k, v in zip(out, (shared - (1 << 63), j + 1, did, th, a, text[a : b + length])):
-                    out[k].append(v)
-    return out
+def _signed(octets: bytes, seed: int = 0) -> int:
+    return xxh3_64_intdigest(octets, seed & (2**64 - 1)) - (1 << 63)
 
 
-def _single_rows(cols: dict, length: int) -> dict:
-    out: dict[str, list] = {k: [] for k in ("k1", "k2", "did", "th", "s0")}
-    for did, th, s0, seg in zip(*(cols[k].to_pylist() for k in ("did", "th", "a", "seg"))):
-        for i in range(len(seg) - length + 1 if seg else 0):
-            k1, k2 = np.frombuffer(xxh3_128_digest(seg[i : i + length]), np.int64).tolist()
-            for k, v in zip(out, (k1, k2, did, th, s0 + i)):
-                out[k].append(v)
+def _anchor_rows(cols: dict, length: int, gram: int) -> dict:
+    """The different segments of each document; ``more`` has the other starts of one that comes again."""
+    out: dict[str, list] = {k: [] for k in ("did", "th", "s0", "w", "k", "sh", "more")}
+    for did, th, text in zip(*(cols[k].to_pylist() for k in ("did", "th", "t"))):
+        first, last, hashes, places = anchors(text, length, gram)
+        starts, keys = first.tolist(), hashes.view(np.int64).tolist()
+        alike = [_signed(text[a : b + length]) for a, b in zip(starts, last.tolist())]
+        widths = ((last - first << 16) | (places - first)).tolist()
+        more: list[list | None] = [None] * len(starts)
+        seen = dict(zip(zip(keys[::-1], alike[::-1]), range(len(keys) - 1, -1, -1)))
+        kept = range(len(keys))
+        if len(seen) < len(keys):
+            kept = sorted(seen.values())
+            for i, pair in enumerate(zip(keys, alike)):
+                if (head := seen[pair]) != i:
+                    if more[head] is None:
+                        more[head] = []
+                    more[head].append(starts[i])
+        for name, values in zip(list(out)[2:], (starts, widths, keys, alike, more)):
+            out[name].extend(values if len(kept) == len(values) else [values[i] for i in kept])
+        out["did"].extend([did] * len(kept))
+        out["th"].extend([th] * len(kept))
     return out
 
 
-def _match_singles(schema: pa.Schema):
-    """Repeated starts from rows sorted by (k1, k2, did, th, s0); equal keys are equal strings."""
+def _segment_rows(cols: dict, length: int) -> dict:
+    out: dict[str, list] = {k: [] for k in ("k", "did", "th", "s0", "seg")}
+    for did, th, text, runs in zip(*(cols[k].to_pylist() for k in ("did", "th", "t", "runs"))):
+        for run in runs:
+            s0 = run["s0"]
+            for name, v in zip(out, (run["k"], did, th, s0, text[s0 : s0 + (run["w"] >> 16) + length])):
+                out[name].append(v)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, told = None, None, False
-        for batch in batches:
-            out: list[tuple] = []
-            for k1, k2, *place in zip(*(batch.column(k).to_pylist() for k in ("k1", "k2", "did", "th", "s0"))):
-                if (k1, k2) != key:
-                    key, first, told = (k1, k2), place, False
-                    continue
-                if not told:
-                    out.append((*first, first[2], False, None))
-                    told = True
-                out.append((*place, place[2], place != first, None))
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*out))), schema=schema)
 
-    return run
+def _part_rows(cols: dict, length: int, part: int) -> dict:
+    """Segments cut into parts: the strings whose anchor is j * part and more bytes inside."""
+    out: dict[str, list] = {k: [] for k in ("did", "th", "s0", "w", "k", "sh", "more")}
+    for did, th, text, runs in zip(*(cols[k].to_pylist() for k in ("did", "th", "t", "runs"))):
+        for run in runs:
+            s0, s1, place = run["s0"], run["s0"] + (run["w"] >> 16), run["s0"] + (run["w"] & 0xFFFF)
+            for j in range((place - s1) // part, (place - s0) // part + 1):
+                high, low = place - j * part, place - (j + 1) * part + 1
+                a, b = max(s0, low), min(s1, high)
+                key, alike = _signed(text[high : low + length], run["k"] + j), _signed(text[a : b + length])
+                for name, v in zip(out, (did, th, a, (b - a << 16) | (place - a), key, alike, None)):
+                    out[name].append(v)
+    return out
 
 
 def longest_previous(pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -186,11 +182,8 @@ def suffix_order(text: str, starts: list[int], length: int) -> tuple[np.ndarray,
     return np.array(order, np.int64), lcp
 
 
-def _match(length: int, crowd: int, block_bytes: int, schema: pa.Schema):
-    """Ranges of repeated starts from segments sorted by (k1, k2, seg, did, th, s0).
-
-    A row with seg is a slice that is still open: its key has more than ``crowd`` different ones.
-    """
+def _match(length: int, block_bytes: int, schema: pa.Schema):
+    """Ranges of repeated starts from different segments (k, did, th, s0, seg) sorted by k."""
 
     def ranges(state: np.ndarray) -> Iterator[tuple[int, int, bool]]:
         cut = np.flatnonzero(state[1:] != state[:-1]) + 1
@@ -198,9 +191,8 @@ def _match(length: int, crowd: int, block_bytes: int, schema: pa.Schema):
             if state[a]:
                 yield a, b - 1, bool(state[a] == 2)
 
-    def solve(block: list[list[list]], out: list[tuple]) -> None:
-        """block: by key, the different segments [seg, did, th, s0]."""
-        parts = [x for group in block if len(group) > 1 for x in group]
+    def solve(parts: list[list], out: list[tuple]) -> None:
+        """parts: [seg, did, th, s0], those of one key together."""
         if not parts:
             return
         sizes = np.array([len(x[0]) for x in parts])
@@ -218,50 +210,32 @@ def _match(length: int, crowd: int, block_bytes: int, schema: pa.Schema):
         state = np.zeros(len(order), np.int8)
         state[by_place[order]] = np.where(earlier, 2, np.where(later, 1, 0))
         for x, a, n in zip(parts, head.tolist(), strings.tolist()):
-            out.extend((x[1], x[2], x[3] + i, x[3] + j, e, None) for i, j, e in ranges(state[a : a + n]))
+            got = [{"a": x[3] + i, "b": x[3] + j, "earlier": e} for i, j, e in ranges(state[a : a + n])]
+            if got:
+                out.append((x[1], x[2], got))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[list[list]] = []
-        size, key, last, told, many = 0, None, None, False, False
+        block: list[list] = []
+        size, key, last = 0, None, None
         out: list[tuple] = []
 
-        def whole(seg, did, th, s0, earlier) -> tuple:
-            return did, th, s0, s0 + len(seg) - length, earlier, None
-
-        def left_open(seg, did, th, s0) -> tuple:
-            return did, th, s0, s0 + len(seg) - length, None, seg
-
         def emit() -> pa.RecordBatch:
             got = pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*out))), schema=schema)
             out.clear()
             return got
 
         for batch in slices(batches):
-            rows = zip(*(batch.column(k).to_pylist() for k in ("k1", "k2", "seg", "did", "th", "s0")))
-            for k1, k2, *row in rows:
-                if (k1, k2) != key:
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("k", "seg", "did", "th", "s0"))):
+                if k != key:
                     if size > block_bytes:
                         solve(block, out)
                         block, size = [], 0
-                    block.append([])
-                    key, last, many = (k1, k2), None, False
-                if last and last[0] == row[0]:
-                    if not told:
-                        out.append(whole(*last, False))
-                        told = True
-                    out.append(whole(*row, row[1:] != last[1:]))
+                    key, last = k, None
+                if row == last:  # equal rows of the documents
                     continue
-                last, told = row, False
-                if many:
-                    out.append(left_open(*row))
-                    continue
-                block[-1].append(row)
+                last = row
+                block.append(row)
                 size += len(row[0])
-                if k2 and len(block[-1]) > crowd:
-                    many = True
-                    gone = block.pop()
-                    size -= sum(len(x[0]) for x in gone)
-                    out.extend(left_open(*x) for x in gone)
             if len(out) > 10000:
                 yield emit()
         solve(block, out)
@@ -280,45 +254,70 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _told(pieces: DataFrame, twice: DataFrame) -> DataFrame:
+    """Ranges of the segments that come more than once; the first place is no later copy."""
+    firsts = twice.select(F.col("k").alias("_k"), F.col("sh").alias("_sh"), "first")
+    met = pieces.join(firsts, (F.col("k") == F.col("_k")) & (F.col("sh") == F.col("_sh")))
+    starts = F.concat(F.array("s0"), F.coalesce("more", F.array().cast("array<int>")))
+    stands = (F.col("did") == F.col("first.did")) & (F.col("th") == F.col("first.th"))
+    one = lambda s: F.struct(
+        s.alias("a"), (s + F.shiftright("w", 16)).alias("b"), (~(stands & (s == F.col("first.s0")))).alias("earlier")
+    )
+    return met.select("did", "th", F.transform(starts, one).alias("ranges"))
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
-    """(did, th, a, b, earlier): ranges of starts whose string of ``length`` bytes also starts
+    """(did, th, ranges), ranges of starts (a, b, earlier) whose string of ``length`` bytes also starts
     elsewhere; earlier: also at a smaller (doc_id, hash of the text, start), null ids first.
 
-    Rows that agree in doc_id and text are one place: each repeats the other, none is earlier.
-    Rows whose earlier is null tell nothing.
+    One row per document that has any.  Rows that agree in doc_id and text are one place: each
+    repeats the other, none is earlier.
     """
     if length > 32000:
         raise ValueError("strings of at most 32000 bytes")
     spark = docs.sparkSession
     gram = gram or max(1, length // 5)
-    ship(spark)
+    work = Scratch(spark, "repeats")
     rows = _keyed(docs)
-    schema = "did long, th long, s0 int, w int, h long"
+    schema = "did long, th long, s0 int, w int, k long, sh long, more array<int>"
     found = map_rows(rows.filter(F.octet_length("t") >= length), _anchor_rows, schema, length, gram)
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = found.join(twice.withColumnRenamed("h", "h2"), F.col("h") == F.col("h2"))
-    run = F.struct("s0", "w", "h", (F.col("n") > CROWD).alias("crowd"))
-    runs = shared.groupBy("did", "th").agg(F.collect_list(run).alias("runs"))
-    texts = rows.join(runs, ["did", "th"])
-    schema = "k1 long, k2 long, did long, th long, s0 int, seg binary"
-    cut = map_rows(texts, _cut_rows, schema, length, min(SLICE, length))
-    met = cut.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "seg", "did", "th", "s0")
-    schema = "did long not null, th long not null, a int, b int, earlier boolean, seg binary"
-    out = arrow_schema(spark, schema)
-    # dealt by document once, with all columns and rows, for both that read it: what is found
-    # and the slices still open (their earlier is null)
-    told = met.mapInArrow(_match(length, CROWD, BLOCK_BYTES, out), schema).repartition("did", "th")
-    singles = map_rows(told, _single_rows, "k1 long, k2 long, did long, th long, s0 int", length)
-    alike = singles.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "did", "th", "s0")
-    more = alike.mapInArrow(_match_singles(out), schema)
-    return told.union(more).select("did", "th", "a", "b", F.when(F.col("seg").isNull(), F.col("earlier")).alias("earlier"))
+    places = F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0)))
+    again = found.groupBy(F.col("k").alias("_k")).agg(places.alias("_n"))
+    shared = found.join(again.filter("_n > 1"), F.col("k") == F.col("_k")).select(*found.columns)
+    pieces, left = work.save(shared, "pieces")
+    told = []
+    match_schema = "did long not null, th long not null, ranges array<struct<a: int, b: int, earlier: boolean>>"
+    out = arrow_schema(spark, match_schema)
+    for level in range(len(PARTS) + 1):
+        if not left and level:
+            break
+        kinds, _ = work.save(pieces.groupBy("k", "sh").agg(places.alias("n"), F.min(F.struct("did", "th", "s0", "w")).alias("first")), f"kinds{level}")
+        told.append(_told(pieces, kinds.filter("n > 1")))
+        by_key = kinds.groupBy(F.col("k").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        many = kinds.join(by_key, F.col("k") == F.col("_k")).select("k", "first.*", (F.col("_n") > CROWD).alias("crowd"))
+        _, seen = work.write(many, f"many{level}", crowded=F.sum(F.col("crowd").cast("long")))
+        many = work.read(f"many{level}", many.schema)
+
+        def with_texts(some: DataFrame) -> DataFrame:
+            run = F.struct("s0", "w", "k")
+            return rows.join(some.groupBy("did", "th").agg(F.collect_list(run).alias("runs")), ["did", "th"])
+
+        segments = map_rows(with_texts(many.filter("not crowd")), _segment_rows, "k long, did long, th long, s0 int, seg binary", length)
+        met = segments.repartition("k").sortWithinPartitions("k", "did", "th", "s0")
+        told.append(met.mapInArrow(_match(length, BLOCK_BYTES, out), match_schema))
+        left = seen["crowded"]
+        if left:
+            parts = map_rows(with_texts(many.filter("crowd")), _part_rows, schema, length, min(PARTS[level], length))
+            pieces = work.cut(parts, f"parts{level}")
+    whole = reduce(DataFrame.union, told)
+    return whole.groupBy("did", "th").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def spans(ranges: list[dict] | None, length: int, later_only: bool) -> list[tuple[int, int]]:
     """Merged byte spans that the strings starting in ``ranges`` cover."""
     out: list[tuple[int, int]] = []
-    sure = (r for r in (() if ranges is None else ranges) if r["earlier"] is not None)
-    for a, b in sorted((int(r["a"]), int(r["b"]) + length) for r in sure if r["earlier"] or not later_only):
+    wanted = (r for r in (() if ranges is None else ranges) if r["earlier"] or not later_only)
+    for a, b in sorted((int(r["a"]), int(r["b"]) + length) for r in wanted):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -348,10 +347,7 @@ def whole_characters(text: bytes, gone: list[tuple[int, int]]) -> list[tuple[int
 
 
 def _with_ranges(docs: DataFrame, length: int, gram: int | None) -> tuple[DataFrame, DataFrame]:
-    by_doc = repeated_ranges(docs, length, gram).groupBy("did", "th").agg(
-        F.collect_list(F.struct("a", "b", "earlier")).alias("_ranges")
-    )
-    return _keyed(docs), by_doc
+    return _keyed(docs), repeated_ranges(docs, length, gram).withColumnRenamed("ranges", "_ranges")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, later_only: bool = False, gram: int | None = None) -> DataFrame:
