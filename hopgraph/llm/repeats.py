@@ -124,9 +124,22 @@ def _anchor_rows(cols: dict, length: int, gram: int) -> dict:
     return out
 
 
+def _small_rows(cols: dict) -> dict:
+    """Texts as they are shuffled: compressed, with their length."""
+    codec, texts = pa.Codec("zstd", compression_level=1), cols["t"].to_pylist()
+    small = [codec.compress(t, asbytes=True) for t in texts]
+    return {"did": cols["did"], "th": cols["th"], "n": [len(t) for t in texts], "z": small}
+
+
+def _texts(cols: dict) -> Iterator[bytes]:
+    codec = pa.Codec("zstd")
+    for n, z in zip(cols["n"].to_pylist(), cols["z"]):
+        yield codec.decompress(z.as_buffer(), n, asbytes=True) if n else b""
+
+
 def _segment_rows(cols: dict, length: int) -> dict:
     out: dict[str, list] = {k: [] for k in ("k", "did", "th", "s0", "seg")}
-    for did, th, text, runs in zip(*(cols[k].to_pylist() for k in ("did", "th", "t", "runs"))):
+    for did, th, runs, text in zip(*(cols[k].to_pylist() for k in ("did", "th", "runs")), _texts(cols)):
         for run in runs:
             s0 = run["s0"]
             for name, v in zip(out, (run["k"], did, th, s0, text[s0 : s0 + (run["w"] >> 16) + length])):
@@ -137,7 +150,7 @@ def _segment_rows(cols: dict, length: int) -> dict:
 def _part_rows(cols: dict, length: int, part: int) -> dict:
     """Segments cut into parts: the strings whose anchor is j * part and more bytes inside."""
     out: dict[str, list] = {k: [] for k in ("did", "th", "s0", "w", "k", "sh", "more")}
-    for did, th, text, runs in zip(*(cols[k].to_pylist() for k in ("did", "th", "t", "runs"))):
+    for did, th, runs, text in zip(*(cols[k].to_pylist() for k in ("did", "th", "runs")), _texts(cols)):
         for run in runs:
             s0, s1, place = run["s0"], run["s0"] + (run["w"] >> 16), run["s0"] + (run["w"] & 0xFFFF)
             for j in range((place - s1) // part, (place - s0) // part + 1):
@@ -273,12 +286,20 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     One row per document that has any.  Rows that agree in doc_id and text are one place: each
     repeats the other, none is earlier.
     """
+    rows = _keyed(docs)
+    return _ranges(rows, _small(rows), length, gram)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return map_rows(rows, _small_rows, "did long, th long, n int, z binary")
+
+
+def _ranges(rows: DataFrame, small: DataFrame, length: int, gram: int | None) -> DataFrame:
     if length > 32000:
         raise ValueError("strings of at most 32000 bytes")
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     gram = gram or max(1, length // 5)
     work = Scratch(spark, "repeats")
-    rows = _keyed(docs)
     schema = "did long, th long, s0 int, w int, k long, sh long, more array<int>"
     found = map_rows(rows.filter(F.octet_length("t") >= length), _anchor_rows, schema, length, gram)
     places = F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0)))
@@ -298,16 +319,17 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
         _, seen = work.write(many, f"many{level}", crowded=F.sum(F.col("crowd").cast("long")))
         many = work.read(f"many{level}", many.schema)
 
-        def with_texts(some: DataFrame) -> DataFrame:
-            run = F.struct("s0", "w", "k")
-            return rows.join(some.groupBy("did", "th").agg(F.collect_list(run).alias("runs")), ["did", "th"])
+        def runs(some: DataFrame) -> DataFrame:
+            return some.groupBy("did", "th").agg(F.collect_list(F.struct("s0", "w", "k")).alias("runs"))
 
-        segments = map_rows(with_texts(many.filter("not crowd")), _segment_rows, "k long, did long, th long, s0 int, seg binary", length)
+        segments = map_rows(small.join(runs(many.filter("not crowd")), ["did", "th"]), _segment_rows, "k long, did long, th long, s0 int, seg binary", length)
         met = segments.repartition("k").sortWithinPartitions("k", "did", "th", "s0")
         told.append(met.mapInArrow(_match(length, BLOCK_BYTES, out), match_schema))
         left = seen["crowded"]
         if left:
-            parts = map_rows(with_texts(many.filter("crowd")), _part_rows, schema, length, min(PARTS[level], length))
+            # stored, so that Spark knows its size: a small one goes to the texts, not the texts to it
+            crowded = work.cut(runs(many.filter("crowd")), f"crowded{level}")
+            parts = map_rows(small.join(crowded, ["did", "th"]), _part_rows, schema, length, min(PARTS[level], length))
             pieces = work.cut(parts, f"parts{level}")
     whole = reduce(DataFrame.union, told)
     return whole.groupBy("did", "th").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
@@ -346,10 +368,6 @@ def whole_characters(text: bytes, gone: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def _with_ranges(docs: DataFrame, length: int, gram: int | None) -> tuple[DataFrame, DataFrame]:
-    return _keyed(docs), repeated_ranges(docs, length, gram).withColumnRenamed("ranges", "_ranges")
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, later_only: bool = False, gram: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every document: the bytes covered by strings of
     ``length`` bytes that also start elsewhere (later_only: earlier), and what is left.
@@ -357,10 +375,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, later_only: bool = False, gra
     Matches lie inside one document; a null text is an empty one and has none, nor has a text
     shorter than ``length``.  An empty table gives no rows.
     """
-    rows, by_doc = _with_ranges(docs, length, gram)
+    rows = _keyed(docs)
+    small = _small(rows)
+    by_doc = _ranges(rows, small, length, gram)
 
     def finish(cols: dict) -> dict:
-        texts, found = cols["t"].to_pylist(), cols["_ranges"].to_pylist()
+        texts, found = list(_texts(cols)), cols["ranges"].to_pylist()
         gone = [spans(r, length, later_only) for r in found]
         return {
             "doc_id": [None if d == -(2**63) else d for d in cols["did"].to_pylist()],
@@ -370,7 +390,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, later_only: bool = False, gra
         }
 
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
-    return map_rows(rows.join(by_doc, ["did", "th"], "left"), finish, schema)
+    return map_rows(small.join(by_doc, ["did", "th"], "left"), finish, schema)
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -379,14 +399,14 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Later copies leave the text as far as they are whole characters; n_chars, where there is
     such a column, follows.  Null texts stay null.
     """
-    _, by_doc = _with_ranges(docs, length, None)
+    by_doc = repeated_ranges(docs, length)
     marked = docs.withColumns(
         {
             "_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
             "_th": F.xxhash64("text"),
         }
     ).withColumnRenamed("text", "_text")
-    by_doc = by_doc.withColumnsRenamed({"did": "_did", "th": "_th"})
+    by_doc = by_doc.withColumnsRenamed({"did": "_did", "th": "_th", "ranges": "_ranges"})
     joined = marked.join(by_doc, ["_did", "_th"], "left")
 
     @F.pandas_udf("string")
