@@ -6,6 +6,8 @@ whole graph and returns counts of what must and what must not occur; SQL knows t
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from hopgraph.operators import coarsen as H
 from hopgraph.operators import embed as E
 from hopgraph.operators import predict as D
 from hopgraph.operators import route as R
+from hopgraph.operators import softmax as X
 from hopgraph.operators import stats as C
 from hopgraph.operators import traverse as T
 from hopgraph.operators import walk as K
@@ -207,6 +210,56 @@ def emb_skipgram_facts(spark, sf):
     )
 
 
+@register(
+    "softmax_codes",
+    S.query(
+        S.graph("follow")
+        + [
+            "merge(l, c) as (select list(deg order by deg), 0::bigint from nodes"
+            " union all select list_sort(list_append(l[3:], l[1] + l[2])), (c + l[1] + l[2])::bigint from merge where len(l) > 1)"
+        ],
+        """select (select count(*) from nodes) as n, (select c from merge where len(l) = 1) as cost,
+  1::double as kraft, (select count(*) from nodes) as words, 0::bigint as out_of_order""",
+    ),
+)
+def softmax_codes(spark, sf):
+    """Codes of nodes by degree cost as little as merging the two lightest over and over."""
+    g = graphs.graph(spark, sf, "follow")
+    codes = X.code_table(g.nodes.select("id", F.col("deg").alias("cnt")))
+    word = F.concat_ws("", F.transform("path", lambda x: x["bit"].cast("string")))
+    rows = Scratch(spark, "facts").cut(codes.select("cnt", F.size("path").alias("len"), word.alias("word")))
+    by_len = rows.groupBy("len").agg(F.min("cnt").alias("low"), F.max("cnt").alias("high"))
+    lens = by_len.agg(F.array_sort(F.collect_list(F.struct("len", "low", "high"))).alias("x"))  # a row per code length
+    bad = F.expr("size(filter(sequence(1, size(x) - 1), i -> x[i].high > x[i - 1].low))").cast("bigint")
+    out = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("cnt") * F.col("len")).alias("cost"),
+        F.sum(F.pow(F.lit(2.0), -F.col("len"))).alias("kraft"), F.count_distinct("word").alias("words"),
+    )
+    return out.join(lens.select(bad.alias("out_of_order")))
+
+
+@register(
+    "emb_softmax_facts",
+    S.query(S.graph("link"), "select count(*) as n, count(*) - 1 as inner_n, 4::bigint as whole, true as falls, true as nearer from nodes"),
+)
+def emb_softmax_facts(spark, sf):
+    """A vector for every node, one less inside the tree; the probabilities of all contexts add up
+    to 1, the cost falls below that of guessing, and arcs are likelier than drawn pairs."""
+    g = graphs.graph(spark, sf, "link")
+    scratch = Scratch(spark, "facts")
+    model = X.SoftmaxSkipgram.fit(scratch.cut(K.walks(g, g.nodes, "uniform", 4, 6).select("path")), 16, 2, iters=6)
+    tops = F.array(*[F.lit(r.id) for r in _top(g, 4).collect()])
+    every = model.log_probability(g.nodes.select(F.explode(tops).alias("u"), F.col("id").alias("v")))
+    sums = every.groupBy("u").agg(F.sum(F.exp("lp")).alias("p")).agg(_none("abs(p - 1) < 1e-9").alias("whole"))
+    _, drawn = _classical(spark, sf, 4, 50)
+    mean = lambda pairs, name: model.log_probability(pairs.select(F.col("src").alias("u"), F.col("dst").alias("v"))).agg(F.avg("lp").alias(name))
+    both = mean(g.arcs, "a").join(mean(drawn.filter("src <> dst"), "b"))
+    sizes = model.vectors.agg(F.count_distinct("id").alias("n")).join(model.inner.agg(F.count_distinct("node").alias("inner_n")))
+    return sizes.join(sums).join(both).select(
+        "n", "inner_n", "whole", F.lit(model.loss() < 0.98 * math.log(2)).alias("falls"), (F.col("a") > F.col("b")).alias("nearer")
+    )
+
+
 @register(
     "linear_decoder_line",
     """select vec_id as id, round(regr_intercept(label, embedding[1]::double) over () + regr_slope(label, embedding[1]::double) over () * embedding[1]::double, 4) as pred
