@@ -1,6 +1,7 @@
 import hashlib
 
 from hopgraph.llm.chat import HOSTILE, digests, escape, format_chats, locate, read_turns, turn_template, unescape
+from hopgraph.llm import chat
 from tests.llm.edge import LONG
 
 HARD = [r"\### Assistant: </turn> ok", "</turn>\n### a: b", "\\", "\\\\<", "", "a:b#c", "", "ä\U0001f600\n\n", "### "]
@@ -87,3 +88,13 @@ def test_long_conversations_are_rendered_whole(spark):
         if template is not forgetting:
             assert "".join(r.piece for r in got) == template(turns)
             assert all(r.piece[r.text_start : r.text_stop] == t for r, (_, t) in zip(got, turns))
+
+
+def test_the_query_renders_all_turns_before(spark, monkeypatch, tmp_path):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(70)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    real, asked = format_chats, []
+    monkeypatch.setattr(chat, "format_chats", lambda chats, **kw: asked.append(kw.get("history")) or real(chats, **kw))
+    got = {r.conv_id: r for r in chat.op7_chat_format(spark, str(tmp_path)).collect()}
+    assert asked == [None] and got[1].n_turns == 70
+    assert got[1].loss_sha256 == hashlib.sha256("".join(t for _, _, r, t in rows if r == "assistant").encode()).hexdigest()
