@@ -107,3 +107,25 @@ def test_held_out_texts_gain_from_the_trie(spark):
     size = {r.doc_id: len(r.text.encode()) for r in docs.collect()}
     bits = -sum(r.score for r in held) / math.log10(2) / sum(size[r.doc_id] for r in held)
     assert bits < 2.5 and sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)
+
+
+@pytest.mark.parametrize("order,part", [(5, 40), (3, 7), (2, 1000)])
+def test_large_tries_keep_their_depth(spark, monkeypatch, order, part):
+    monkeypatch.setattr(ppm, "ENTRIES", 3)
+    monkeypatch.setattr(ppm, "PART_ENTRIES", part)
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 200)
+    rng = random.Random(order)
+    rows = [(i, " ".join(rng.choice(["ab", "abc", "Bca", "ä€", "x"]) for _ in range(rng.randint(0, 30))), i % 4 != 1) for i in range(40)]
+    rows += [(100, None, True), (100, None, True), (101, "", False), (None, "new \U0001f600 zq", False), (102, "ABC abc\tabc", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = ppm.score_documents(df, F.col("learn"), order, whole=True).collect()
+    same([(r.doc_id, r.learn, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], brute(rows, order))
+
+
+def test_the_query_keeps_its_depth(spark, monkeypatch, tmp_path):
+    rows = [(i, "the cat sat on the mat " * (i % 3) + f"cat {i}") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(map(tuple, ppm.op4_lm_score(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(ppm, "ENTRIES", 3)
+    monkeypatch.setattr(ppm, "PART_ENTRIES", 50)
+    assert sorted(map(tuple, ppm.op4_lm_score(spark, str(tmp_path)).collect())) == want
