@@ -73,3 +73,12 @@ def test_walk_frequency(spark):
     w = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 2])], "root bigint, path array<bigint>")
     assert [tuple(r) for r in S.walk_frequency(w).collect()] == [(2, 3), (3, 2), (1, 1)]
     assert [r.id for r in S.roots_by_frequency(w).collect()] == [2, 1]
+
+
+def test_bounds_from_searches_in_bits(spark):
+    """Bounds of every node are those of one search after the other."""
+    g, ap = tiny.graph(spark, "B"), tiny.apsp("B")
+    for chosen in ([3], [0, 9, 14], sorted(ap)):
+        got = {r.id: (r.lo2, r.up2) for r in S._bounds_from(g, tiny.ids(spark, *chosen), S.Scratch(spark, "test")).collect()}
+        ecc = {s: max(ap[s].values()) for s in chosen}
+        assert got == {v: (max(max(ap[s][v], ecc[s] - ap[s][v]) for s in chosen), min(ecc[s] + ap[s][v] for s in chosen)) for v in ap}
