@@ -12,6 +12,9 @@ from hopgraph.llm.repeats import drop_repeats
 from hopgraph.llm.resemblance import drop_resembling
 from hopgraph.plans.scratch import Scratch
 
+#: Bits in which the SimHash fingerprints of near duplicates differ at most.
+RADIUS = 4
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quadratic discriminant does not reject."""
@@ -19,8 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts with 0.8 and more of their five-word shingles in common."""
-    return drop_resembling(docs)
+    """One document of each class of texts that are linked by their SimHash fingerprints (at most
+    ``RADIUS`` differing bits) or have 0.8 and more of their five-word shingles in common."""
+    return drop_resembling(docs, radius=RADIUS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Near duplicates by the share of five-word shingles that two texts have in common.
+"""Near duplicates by SimHash, and by the share of five-word shingles that two texts have in common.
 
-Candidates are found by MinHash: the smallest values of ``ROWS`` hash functions make the key
-of a band, and texts that share any of ``BANDS`` keys collide.  Colliding texts are compared
-by their shingles.  First all texts of a band meet one of it, another one each of ``STARS`` times,
+With ``radius``, texts whose 64-bit fingerprints (``simhash``, majority bits of the four-word shingles)
+differ in at most as many bits are linked first.  Further candidates are found by MinHash: the
+smallest values of ``ROWS`` hash functions make the key of a band, and texts that share any of
+``BANDS`` keys collide.  Colliding texts are compared by their shingles.  First all texts of a band meet one of it, another one each of ``STARS`` times,
 so that large classes mostly become one.  The texts of bands that still hold several classes are
 dealt into blocks; a task takes two blocks, counts the shingles that their texts share in rows
 of bits and gives the links that join classes, at most one for each text.  So every
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from hopgraph.llm.common import components, give_back, map_rows, ship, slices, utf8
+from hopgraph.llm.simhash import fingerprint, print_classes
 from hopgraph.plans.scratch import Scratch
 
 WIDTH = 5
@@ -69,11 +71,12 @@ def band_keys(parts: list[bytes]) -> list[int]:
     return [xxh3_64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)]
 
 
-def _rows(cols: dict, width: int) -> dict:
+def _rows(cols: dict, width: int, prints: bool) -> dict:
     texts = cols["t"].to_pylist()
     nodes = [xxh3_64_intdigest(b" ".join(t.lower().split()) if t else b"") - (1 << 63) for t in texts]
     keys = [band_keys(shingles(t, width)) for t in texts]
-    return {"doc_id": cols["doc_id"], "th": cols["th"], "node": nodes, "bands": keys}
+    fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64) if prints else [None] * len(texts)
+    return {"doc_id": cols["doc_id"], "th": cols["th"], "node": nodes, "fp": fps, "bands": keys}
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -167,20 +170,30 @@ def _compare_blocks(open_: DataFrame, texts: DataFrame, width: int, least: float
     return met.groupBy("key", "i", "j").applyInArrow(lambda t: _joining(t, least), "a long, b long")
 
 
-def resembling(docs: DataFrame, least: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+def _print_links(nodes: DataFrame, radius: int, work: Scratch) -> DataFrame:
+    """(a, b): each text with one of its SimHash class, so that every class is connected."""
+    roots = print_classes(nodes, radius, Scratch(work.spark, "simhash"))
+    named = nodes.select("node", "fp").join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    lead = named.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("root", "a")
+    return named.join(lead, "root").filter("node <> a").select("a", F.col("node").alias("b"))
+
+
+def resembling(docs: DataFrame, least: float = SIMILARITY, width: int = WIDTH, radius: int | None = None) -> DataFrame:
     """(doc_id, th, component_id, first): the class of every document.
 
     Classes are the components of the pairs with similarity ``least`` and more among all that
-    collide; texts of the same words are one class, those without words too.  component_id is
+    collide; texts of the same words are one class, those without words too.  With ``radius``, texts
+    whose SimHash fingerprints differ in at most that many bits are linked as well.  component_id is
     the smallest doc_id of the class (null only if no member has one), first is true for the
     one row that stands for the class.  An empty table gives no rows.
     """
     work = Scratch(docs.sparkSession, "resemblance")
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), utf8().alias("t"))
-    found = map_rows(keyed, _rows, "doc_id long, th long, node long, bands array<long>", width)
+    found = map_rows(keyed, _rows, "doc_id long, th long, node long, fp long, bands array<long>", width, radius is not None)
     rows, _ = work.save(found, "rows")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("head")
-    nodes, _ = work.save(rows.groupBy("node").agg(head, F.first("bands").alias("bands")), "nodes")
+    nodes, _ = work.save(rows.groupBy("node").agg(head, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    links = [] if radius is None else [work.cut(_print_links(nodes, radius, work), "print_links")]
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
     ends = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
@@ -189,7 +202,9 @@ def resembling(docs: DataFrame, least: float = SIMILARITY, width: int = WIDTH) -
         wanted = met.select("node").distinct().join(nodes, "node").select("node", F.col("head.doc_id").alias("_d"), F.col("head.th").alias("_th"))
         texts = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted._d) & (keyed.th == wanted._th)).select("node", "t")
         texts, _ = work.save(texts.dropDuplicates(["node"]), "texts")
-        links, seen, comp = [], [], met.select("node", F.col("node").alias("comp")).distinct()
+        seen, comp = [], met.select("node", F.col("node").alias("comp")).distinct()
+        if links:  # texts of one SimHash class need no comparison
+            comp = components(links[0], Scratch(work.spark, "resemblance"))
         for step in range(STARS + 1):
             named = met.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
             size = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -210,10 +225,9 @@ def resembling(docs: DataFrame, least: float = SIMILARITY, width: int = WIDTH) -
             seen.append(pairs)
             links.append(work.cut(_compare(pairs, texts, width, least), f"links{step}"))
             comp = components(reduce(DataFrame.union, links), Scratch(work.spark, "resemblance"))
-        links = reduce(DataFrame.union, links)
-    else:
-        links = met.select("a", F.col("node").alias("b"))
-    comp = components(links, work)
+    if not links:
+        links = [met.select("a", F.col("node").alias("b"))]
+    comp = components(reduce(DataFrame.union, links), work)
     tops = comp.join(nodes, "node").groupBy("comp").agg(F.min("head").alias("top"))
     linked = comp.join(tops, "comp").select("node", "top")
     whole = nodes.join(linked, "node", "left").select("node", F.coalesce("top", "head").alias("top"))
@@ -221,9 +235,9 @@ def resembling(docs: DataFrame, least: float = SIMILARITY, width: int = WIDTH) -
     return rows.join(whole, "node").select("doc_id", "th", F.col("top.doc_id").alias("component_id"), is_first.alias("first"))
 
 
-def drop_resembling(docs: DataFrame, least: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+def drop_resembling(docs: DataFrame, least: float = SIMILARITY, width: int = WIDTH, radius: int | None = None) -> DataFrame:
     """One document of each class, with all columns of ``docs``; of equal rows one stays."""
-    keep = resembling(docs, least, width).filter("first").select(
+    keep = resembling(docs, least, width, radius).filter("first").select(
         F.col("doc_id").alias("_keep"), F.col("th").alias("_keep_th")
     ).distinct()
     marked = docs.withColumn("_th", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("long"))

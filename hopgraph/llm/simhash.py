@@ -144,6 +144,12 @@ def links(prints: DataFrame, n: int, radius: int = 4) -> DataFrame:
     return spread.groupBy("block").applyInArrow(meet, "a long, b long")
 
 
+def print_classes(prints: DataFrame, radius: int, work: Scratch) -> DataFrame:
+    """(fp, root): root is one of the class's ``fp``; fingerprints without a link have no row."""
+    stored, n = work.save(prints.select("fp").distinct(), "class_prints")
+    return components(links(stored, n, radius), work).select(F.col("node").alias("fp"), F.col("comp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, th, fp, component_id, first): the class of every document.
 

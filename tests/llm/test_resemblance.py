@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import hopgraph.llm.resemblance as resemblance
+from hopgraph.llm.simhash import fingerprint
 from tests.llm.edge import documents, nothing
 
 SF = "/root/testdata/sf0.01"
@@ -86,3 +87,18 @@ def test_odd_rows(spark):
     assert {slow_shingles(r.text) for r in kept.collect()} == sets and kept.count() == len(sets)
     assert resemblance.resembling(nothing(spark)).count() == 0
     assert resemblance.drop_resembling(nothing(spark)).count() == 0
+
+
+def test_stage_links_simhash_classes(spark):
+    """Texts of few shingles in common whose fingerprints agree, as one passage of both comes again and again."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(11)]
+    rows = [(i, " ".join(passage * 80 + [word() for _ in range(30)])) for i in range(4)]
+    rows += [(10, " ".join(word() for _ in range(100))), (11, None), (12, " ")]
+    prints = [fingerprint((t or "").encode()) for _, t in rows]
+    assert all((prints[0] ^ p).bit_count() <= 4 for p in prints[:4])
+    label = slow_classes([t for _, t in rows])
+    assert len(set(label[:4])) == 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {0, 10, 11}
