@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,10 +188,24 @@ def longest_previous(pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
 def suffix_order(text: str, starts: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of ``starts`` in the order of the first ``length`` characters from there, equal
     ones as given; what neighbours share, up to ``length``, counted only if it is all of it)."""
-    keys = [text[s : s + length] for s in starts]
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    lcp = np.array([0] + [length * (keys[a] == keys[b]) for a, b in zip(order, order[1:])], np.int64)
-    return np.array(order, np.int64), lcp
+    octets, at = np.frombuffer(text.encode("latin-1"), np.uint8), np.asarray(starts, np.int64)
+    head = np.zeros(len(at), np.uint64)
+    for k in range(min(8, length)):
+        head = (head << np.uint64(8)) | octets[at + k]
+    # first by the beginnings as numbers; only strings that begin alike are held at a time
+    order = np.argsort(head, kind="stable")
+    head = head[order]
+    lcp = np.zeros(len(at), np.int64)
+    cut = np.flatnonzero(head[1:] != head[:-1]) + 1
+    lows, highs = np.concatenate(([0], cut)), np.append(cut, len(at))
+    several = highs - lows > 1
+    for a, b in zip(lows[several].tolist(), highs[several].tolist()):
+        mine = order[a:b]
+        keys = [text[s : s + length] for s in at[mine].tolist()]
+        by_key = sorted(range(b - a), key=keys.__getitem__)
+        order[a:b] = mine[by_key]
+        lcp[a + 1 : b] = [length * (keys[x] == keys[y]) for x, y in zip(by_key, by_key[1:])]
+    return order, lcp
 
 
 def _match(length: int, block_bytes: int, schema: pa.Schema):
@@ -409,16 +422,16 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     by_doc = by_doc.withColumnsRenamed({"did": "_did", "th": "_th", "ranges": "_ranges"})
     joined = marked.join(by_doc, ["_did", "_th"], "left")
 
-    @F.pandas_udf("string")
-    def left(texts: pd.Series, found: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def left(texts: pa.Array, found: pa.Array) -> pa.Array:
         out = []
-        for t, r in zip(texts, found):
+        for t, r in zip(texts.to_pylist(), found.to_pylist()):
             if t is None or r is None:
                 out.append(t)
                 continue
             raw = t.encode()
             out.append(cut_out(raw, whole_characters(raw, spans(r, length, True))).decode())
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     ship(docs.sparkSession)
     new = joined.withColumn("text", left("_text", "_ranges"))

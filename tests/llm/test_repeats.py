@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -118,3 +119,25 @@ def test_whole_characters():
     raw = "aéb".encode()
     assert rep.whole_characters(raw, [(0, 2)]) == [(0, 1)] and rep.whole_characters(raw, [(2, 4)]) == [(3, 4)]
     assert rep.whole_characters(raw, [(1, 2)]) == [] and rep.cut_out(raw, [(1, 3)]) == b"ab"
+
+
+def test_suffix_order():
+    rng = random.Random(9)
+    for length in (3, 8, 20):
+        text = "".join(rng.choice("ab\xff") for _ in range(40)) * 12
+        starts = rng.sample(range(len(text) - length + 1), 200)
+        order, lcp = rep.suffix_order(text, starts, length)
+        want = sorted(range(len(starts)), key=lambda i: text[starts[i] :][:length])
+        assert order.tolist() == want
+        keys = [text[starts[i] :][:length] for i in want]
+        assert lcp.tolist() == [0] + [length * (a == b) for a, b in zip(keys, keys[1:])]
+
+
+def test_suffix_order_holds_few_strings():
+    text = "".join(map(chr, np.random.default_rng(3).integers(0, 256, 200_000)))
+    starts = list(range(len(text) - 200))
+    tracemalloc.start()
+    rep.suffix_order(text, starts, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(text)  # 250 bytes a string if all are held at once
