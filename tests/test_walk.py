@@ -90,3 +90,31 @@ def test_star_profile_coverage(spark):
     prof = {r.pos: r for r in K.profile(g, typed).collect()}
     assert prof[0].max_d == 0 and prof[1].avg_d == 1.0
     assert all(r.nodes >= 2 for r in K.coverage(typed).collect())
+
+
+@pytest.mark.parametrize("kind", ["uniform", "bfs", "bc_decay"])
+def test_rows_and_guide_table_pick_alike(spark, kind):
+    """Neighbours held in a row (large blocks) and hubs (blocks of 4) give the same walks."""
+    found = []
+    for block in (4, 1024):
+        g = tiny.graph(spark, "B", block)
+        score = landmark_centrality(landmark_table(g, tiny.ids(spark, 3, 4)))
+        found.append(tiny.rows(K.walks(g, g.nodes, kind, 2, 4, score, seed=7).select("root", "wid", "path", "stuck")))
+    assert found[0] == found[1]
+
+
+def test_steps_store_and_shuffle_little(spark, monkeypatch):
+    """Eight steps without hubs store the start and two states, and no step has a join row per proposal."""
+    stored = []
+    write = K.Scratch.write
+
+    def counted(self, df, name, **extra):
+        if "/walk-" in self.root:
+            stored.append((name, df.columns))
+        return write(self, df, name, **extra)
+
+    monkeypatch.setattr(K.Scratch, "write", counted)
+    g = tiny.graph(spark, "A", 1024)
+    rows = K.Walker(g).run(g.nodes, 2, 9, K.KINDS["gen"], seed=1).collect()
+    assert len(rows) == 22 and [n for n, _ in stored] == ["s0", "s4", "s8"]
+    assert all(set(c) == {"root", "wid", "cur", "blks", "path", "alive"} for _, c in stored)
