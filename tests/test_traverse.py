@@ -136,3 +136,26 @@ def test_directed_graph_uses_full_history(spark):
     got = {r.id: r.d for r in T.distances(g, tiny.ids(spark, 0)).collect()}
     assert got == {i: i for i in range(7)}
     assert tiny.rows(T.pair_distances(g, tiny.pairs(spark, [(3, 2), (2, 3)]))) == [(2, 3, 1), (3, 2, 6)]
+
+
+@pytest.mark.parametrize("name, least", [("A", 3), ("B", 4), ("D", 2)])
+def test_pair_distances_past_hubs(spark, name, least):
+    """Hubs of few neighbours, so that ways by hubs, past them and by none occur."""
+    g = tiny.graph(spark, name)
+    ap = tiny.apsp(name)
+    wanted = [(u, v) for u in ap for v in ap]
+    got = tiny.rows(T.pair_distances(g, tiny.pairs(spark, wanted), hub_degree=least))
+    assert got == sorted((u, v, ap[u].get(v, -1)) for u, v in wanted)
+
+
+def test_pairs_of_a_star_need_no_search(spark, monkeypatch):
+    """Searches from the leaves of hubs would list all leaves of the hubs, once per search."""
+    from hopgraph.operators.graph import Graph
+    from hopgraph.operators.shape import clean
+
+    ends = spark.range(200).selectExpr("id as src", "1000 + id % 4 as dst")
+    g = Graph.build(clean(ends.union(spark.range(3).selectExpr("1000 + id", "1001 + id"))))  # a chain of four stars
+    monkeypatch.setattr(T.Sweep, "advance", lambda *a, **k: pytest.fail("searched"))
+    pairs = spark.range(200).selectExpr("id as src", "id * 7 % 200 as dst")
+    for r in T.pair_distances(g, pairs).collect():
+        assert r.d == (0 if r.src == r.dst else 2 + abs(r.src % 4 - r.dst % 4))
