@@ -58,6 +58,20 @@ def test_factorise_and_squared_distance_improve(spark):
     assert sq_loss(E.fit_squared_distance(table, start, 3, 8)) < sq_loss(start)
 
 
+def test_scores_of_both_directions(spark):
+    """Both directions, repeated pairs, repeated ids, equal, null and vectorless ends; other columns stay."""
+    from hopgraph.functions.vectors import dot
+
+    emb = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (2, [5.0, 6.0]), (3, [7.0, 8.0])], "id bigint, v array<double>")
+    rows = [(1, 2, "a"), (2, 1, "b"), (1, 3, "c"), (1, 3, "c"), (1, 1, "d"), (1, 9, "e"), (None, 1, "f"), (1, None, "g")]
+    pairs = spark.createDataFrame(rows, "src bigint, dst bigint, tag string")
+    got = D.score_pairs(pairs, emb, x=dot(F.col("_a"), F.col("_b")))
+    assert got.columns == ["src", "dst", "tag", "x"]
+    want = [(1, 1, "d", 5.0), (1, 2, "a", 11.0), (1, 2, "a", 17.0), (1, 3, "c", 23.0), (1, 3, "c", 23.0), (2, 1, "b", 11.0), (2, 1, "b", 17.0)]
+    assert tiny.rows(got) == want
+    assert tiny.rows(D.closed_scores(pairs, emb).select("src", "dst", "tag", "dot")) == want
+
+
 def test_skipgram(spark):
     walks = spark.createDataFrame([(i % 2, [i % 2 * 10 + j for j in (1, 2, 3, 1, 2)]) for i in range(30)], "root bigint, path array<bigint>")
     alone = spark.createDataFrame([(99, [99])], walks.schema)
