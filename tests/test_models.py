@@ -13,6 +13,7 @@ from hopgraph.operators import predict as D
 from hopgraph.operators import route as R
 from hopgraph.operators import sample as P
 from hopgraph.operators import traverse as T
+from hopgraph.operators.graph import Graph
 from hopgraph.operators.oracles import learned as L
 from hopgraph.operators.oracles.labels import LabelOracle
 from hopgraph.operators.oracles.landmark import LandmarkOracle, pack
@@ -186,6 +187,61 @@ def test_greedy_and_fallback(spark, routed):
     assert any(r.failed for r in rows)
 
 
+def _one_by_one(adj, src, dst, pred, cap, factor, limit):
+    """Best-first search that expands one node at a time: path (None if it runs dry) and evaluations."""
+    opened, parent, evals = [(pred[src, dst], src)], {src: None}, 0
+    for _ in range(limit):
+        if not opened:
+            break
+        at, cur = opened.pop(0)
+        end = [dst] if dst in adj[cur] else [dst, *sorted(w for w in adj[cur] if dst in adj[w])[:1]]
+        if dst in adj[cur] or len(end) == 2:
+            back = [*end, cur]
+            while parent[back[-1]] is not None:
+                back.append(parent[back[-1]])
+            return back[::-1], evals
+        fresh = [w for w in adj[cur] if w not in parent]
+        evals += len(fresh)
+        for w in fresh:
+            if pred[w, dst] < at - 1 + factor:
+                parent[w] = cur
+                opened.append((pred[w, dst], w))
+        opened = sorted(opened)[:cap]
+    return None, evals
+
+
+@pytest.mark.parametrize("cap,factor,limit", [(200, 1.5, None), (2, 1.2, 4)])
+def test_greedy_is_one_by_one(spark, routed, cap, factor, limit):
+    g, q, adj = routed
+    some = q.filter("qid % 5 = 0 and src <> dst")
+    predict = R.vector_predictor(E.random_vectors(g.nodes, 2), sq_l2)
+    every = g.nodes.select(F.col("id").alias("src")).crossJoin(g.nodes.select(F.col("id").alias("dst")))
+    pred = {(r.src, r.dst): r.pred for r in predict(every).collect()}
+    rows = R.greedy_routes(g, some, predict, cap=cap, factor=factor, max_rounds=limit).collect()
+    assert len(rows) == some.count()
+    for r in rows:
+        path, evals = _one_by_one(adj, r.src, r.dst, pred, cap, factor, limit or 1000)
+        assert (r.failed, r.evals) == (path is None, evals)
+        assert path is None or r.path == path
+    assert any(r.failed for r in rows) and not all(r.failed for r in rows)
+
+
+def test_greedy_dry_lists_take_few_rounds(spark, monkeypatch):
+    edges = [(0, i) for i in range(1, 42)] + [(41, 42), (42, 43), (43, 44)]
+    g = Graph.build(spark.createDataFrame([p for a, b in edges for p in ((a, b), (b, a))], "src bigint, dst bigint"))
+    q = spark.createDataFrame([(1, 0, 44)], "qid bigint, src bigint, dst bigint")
+
+    def predict(rows):
+        return rows.withColumn("pred", F.when(F.col("src") == 41, 100.0).otherwise(0.0))
+
+    rounds = []
+    expand = Graph.expand
+    monkeypatch.setattr(Graph, "expand", lambda self, front: rounds.append(1) or expand(self, front))
+    row = R.greedy_routes(g, q, predict).first()
+    assert row.failed and row.path == [0, 41, 42, 43, 44] and row.evals == 41
+    assert len(rounds) < 16
+
+
 # ---------------------------------------------------------------- evaluation
 def test_errors(spark):
     rows = spark.createDataFrame([(0, 5.0), (1, 2.0), (2, 2.0), (2, 4.0), (-1, 19.5)], "d int, pred double")
