@@ -159,3 +159,20 @@ def test_pairs_of_a_star_need_no_search(spark, monkeypatch):
     pairs = spark.range(200).selectExpr("id as src", "id * 7 % 200 as dst")
     for r in T.pair_distances(g, pairs).collect():
         assert r.d == (0 if r.src == r.dst else 2 + abs(r.src % 4 - r.dst % 4))
+
+
+@pytest.mark.parametrize("search", [T.shortest_paths, T.enumerate_paths])
+def test_paths_search_connected_pairs_only(spark, monkeypatch, search):
+    g = tiny.graph(spark, "D")
+    pairs = tiny.pairs(spark, [(0, 1), (3, 0), (7, 4), (8, 5)])
+    searched = []
+    first = T.Sweep.__init__
+
+    def spy(self, graph, seeds, *rest, **more):
+        searched.extend(r.id for r in seeds.collect())
+        first(self, graph, seeds, *rest, **more)
+
+    monkeypatch.setattr(T.Sweep, "__init__", spy)
+    got = {(r.src, r.dst): r.path for r in search(g, pairs).collect()}
+    assert searched == [0]
+    assert got[0, 1] == [0, 1] and not any(path for pair, path in got.items() if pair != (0, 1))
