@@ -9,6 +9,7 @@ from hopgraph.operators import classify as N
 from hopgraph.operators import coarsen as H
 from hopgraph.operators import embed as E
 from hopgraph.operators import evaluate as V
+from hopgraph.operators import held
 from hopgraph.operators import predict as D
 from hopgraph.operators import route as R
 from hopgraph.operators import sample as P
@@ -17,6 +18,7 @@ from hopgraph.operators.graph import Graph
 from hopgraph.operators.oracles import learned as L
 from hopgraph.operators.oracles.labels import LabelOracle
 from hopgraph.operators.oracles.landmark import LandmarkOracle, pack
+from hopgraph.operators.shape import clean
 from tests import tiny
 
 
@@ -41,6 +43,59 @@ def test_spectral_embeddings(spark):
     assert sing[0] == pytest.approx(np.sort(np.linalg.svd(rw)[1])[1], abs=0.1)
 
 
+def test_spectral_embeddings_are_found(spark, monkeypatch):
+    """Left to themselves both end at the eigenvectors: small residuals and the exact values."""
+    monkeypatch.setattr(held, "LEAST", 0)
+    monkeypatch.setattr(E, "GUARD", 2)
+    g, adj = Graph.build(tiny.arcs_df(spark, "B"), hub_block=4), tiny.adjacency("B")
+    sym, rw = _laplacian(adj, 15)
+    for find, matrix in ((E.laplacian_eigenmaps, sym), (E.locally_linear, rw.T @ rw)):
+        emb, values = find(g, 3)
+        x = np.array([r.v for r in emb.orderBy("id").collect()])
+        want = np.sort(np.linalg.eigvalsh(matrix))[1:4]
+        values = values if matrix is sym else values**2
+        assert values == pytest.approx(want, abs=1e-6)
+        assert np.linalg.norm(matrix @ x - x * values) < 1e-3 and x.T @ x == pytest.approx(np.eye(3), abs=1e-6)
+
+
+def test_spectral_embeddings_of_a_ring(spark, monkeypatch):
+    """More nodes than columns, small gaps: six plain steps leave residuals of a random block."""
+    ring = spark.range(60).selectExpr("id as src", "(id + 1) % 60 as dst").union(spark.range(60).selectExpr("id", "(id * 7 + 3) % 60"))
+    g = Graph.build(clean(ring), hub_block=4)
+    a = np.zeros((60, 60))
+    for r in g.arcs.collect():
+        a[r.src, r.dst] = 1
+    d = a.sum(1)
+    sym = np.eye(60) - a / np.sqrt(np.outer(d, d))
+    monkeypatch.setattr(E, "GUARD", 2)
+    monkeypatch.setattr(held, "LEAST", 0)
+    emb, values = E.laplacian_eigenmaps(g, 2)
+    x = np.array([r.v for r in emb.orderBy("id").collect()])
+    assert values == pytest.approx(np.sort(np.linalg.eigvalsh(sym))[1:3], abs=1e-6)
+    assert np.linalg.norm(sym @ x - x * values) < 1e-4
+
+
+@pytest.mark.parametrize("dim", [2, 3])
+def test_spectral_embeddings_of_components(spark, monkeypatch, dim):
+    """Three components (and a node without arcs) have three exact vectors; a fourth is iterated."""
+    monkeypatch.setattr(held, "LEAST", 0)
+    g = Graph.build(tiny.arcs_df(spark, "D"), tiny.ids(spark, *range(13)), hub_block=4)
+    adj = tiny.adjacency("D")
+    a = np.zeros((13, 13))
+    for u in adj:
+        for w in adj[u]:
+            a[u, w] = 1
+    d = np.maximum(a.sum(1), 1)
+    sym, m = np.eye(13) - a / np.sqrt(np.outer(d, d)), np.eye(13) - a / d[:, None]
+    for find, matrix, trivial in ((E.laplacian_eigenmaps, sym, np.sqrt(a.sum(1))), (E.locally_linear, m.T @ m, a.sum(1) > 0)):
+        emb, values = find(g, dim)
+        x = np.array([r.v for r in emb.orderBy("id").collect()])
+        values = values if matrix is sym else values**2
+        assert values == pytest.approx(np.sort(np.linalg.eigvalsh(matrix))[1 : dim + 1], abs=1e-6)
+        assert np.linalg.norm(matrix @ x - x * values) < 1e-3 and np.abs(trivial @ x).max() < 1e-6
+        assert x.T @ x == pytest.approx(np.eye(dim), abs=1e-6)
+
+
 def test_factorise_and_squared_distance_improve(spark):
     g, ap = tiny.graph(spark, "B"), tiny.apsp("B")
     arcs = g.edges
