@@ -118,3 +118,20 @@ def test_steps_store_and_shuffle_little(spark, monkeypatch):
     rows = K.Walker(g).run(g.nodes, 2, 9, K.KINDS["gen"], seed=1).collect()
     assert len(rows) == 22 and [n for n, _ in stored] == ["s0", "s4", "s8"]
     assert all(set(c) == {"root", "wid", "cur", "blks", "path", "alive"} for _, c in stored)
+
+
+def test_walk_bc_weighs_by_shortest_paths(spark, monkeypatch):
+    """The query takes log(1 + share of all shortest paths), not what landmarks tell."""
+    import math
+
+    from hopgraph.operators import stats as S
+    from hopgraph.plans import catalogue_models as Q
+
+    g = tiny.graph(spark, "B")
+    monkeypatch.setattr(Q.graphs, "graph", lambda *a: g)
+    used = []
+    monkeypatch.setattr(K, "Walker", lambda *a, made=K.Walker: used.append(made(*a)) or used[-1])
+    rows = Q._walks("bc", 1, 6, "supply")(spark, "").collect()
+    assert len(rows) == 15 and _valid([[int(x) for x in r.path.split("-")] for r in rows], tiny.adjacency("B"))
+    want = {r.id: math.log1p(r.share) for r in S.sp_share(g).collect()}
+    assert {r.dst: r.w for r in used[0].weight.collect()} == pytest.approx(want)
