@@ -105,3 +105,17 @@ def test_landmarks_share_rows(spark, monkeypatch):
     g, ap = tiny.graph(spark, "D"), tiny.apsp("D")
     got = tiny.rows(T.landmark_table(g, tiny.ids(spark, 0, 3, 8)))
     assert got == sorted((s, v, d) for s in (0, 3, 8) for v, d in ap[s].items())
+
+
+def test_landmarks_among_themselves_end_early(spark, monkeypatch):
+    """Three landmarks at one end of a chain need two levels, not all of it."""
+    from hopgraph.operators import sample as P
+
+    monkeypatch.setattr(T, "all_distances", lambda *a: pytest.fail("searched the whole chain"))
+    levels = []
+    advance = T.Sweep.advance
+    monkeypatch.setattr(T.Sweep, "advance", lambda self, *a, **k: levels.append(1) or advance(self, *a, **k))
+    g = Graph.build(clean(spark.range(40).selectExpr("id as src", "id + 1 as dst").union(spark.range(60, 62).selectExpr("id", "id + 1"))))
+    rows = P.landmark_inner_pairs(g, tiny.ids(spark, 0, 1, 2))
+    assert tiny.rows(rows) == sorted((a, b, abs(a - b)) for a in range(3) for b in range(3) if a != b) and len(levels) == 2
+    assert tiny.rows(P.landmark_inner_pairs(g, tiny.ids(spark, 60, 5), self_pairs=True)) == [(5, 5, 0), (60, 60, 0)]
